@@ -8,7 +8,7 @@ once; filter the result for one of them and Spark pushes the filter down.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonecast.functions.clock import day_text, to_local
+from zonecast.functions.clock import day_text, instant, to_local
 from zonecast.functions.tables import long_models
 from zonecast.sources.tables import window_of
 
@@ -73,8 +73,6 @@ def hour_summary(long: DataFrame) -> DataFrame:
 
 def one_hour_summary(long: DataFrame, hour, borough: str, model: str) -> DataFrame:
     """The summary of one hour, borough and model: always one row, zeros without data."""
-    from zonecast.functions.clock import instant
-
     mine = long.where((F.col("hour") == instant(hour)) & (F.col("model") == model))
     if borough != ALL_BOROUGHS:
         mine = mine.where(F.col("borough") == borough)
@@ -105,7 +103,7 @@ def forecast_misses(long: DataFrame, k: int = 5) -> DataFrame:
 
     Spark keeps only the best ``k`` rows per group and task before the shuffle.
     """
-    order = Window.partitionBy("hour", "model").orderBy(F.desc(F.round(F.abs("error"), 9)), "zone_id")
+    order = Window.partitionBy("hour", "model").orderBy(F.desc(F.abs("error")), "zone_id")
     return (
         long.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
@@ -133,9 +131,8 @@ def zone_largest_miss(long: DataFrame) -> DataFrame:
 
     A plain aggregation: ties are settled by the size first and the reversed time second.
     """
-    size = F.round(F.abs("error"), 9)
     worst = long.groupBy("zone_id", "model").agg(
-        F.min_by(F.struct("hour", "error"), F.struct((-size).alias("size"), F.col("hour"))).alias("w")
+        F.min_by(F.struct("hour", "error"), F.struct((-F.abs("error")).alias("size"), F.col("hour"))).alias("w")
     )
     return worst.select("zone_id", "model", "w.hour", "w.error")
 

@@ -105,13 +105,15 @@ def dst_dropped(counts: DataFrame, quality: DataFrame) -> DataFrame:
     )
 
 
-def with_spine(frame: DataFrame, start, stop, name: str = "hour") -> DataFrame:
+def with_spine(frame: DataFrame, start, stop, name: str = "hour", local: bool = True) -> DataFrame:
     """Each input row once per UTC hour of ``[start, stop)``, by explode instead of a join.
 
-    Bounds are local midnights. Days are exploded first, hours second, so no row holds a long
+    Bounds are local midnights, or UTC hours with ``local=False``. Days are exploded first, hours second, so no row holds a long
     array for a long history.
     """
-    begin, end = to_utc(instant(start)), to_utc(instant(stop))
+    begin, end = instant(start), instant(stop)
+    if local:
+        begin, end = to_utc(begin), to_utc(end)
     day = F.expr("interval 1 day")
     last = end - hours(1)
     by_day = frame.withColumn("_day", F.explode(F.sequence(begin, last, day)))
