@@ -1 +1,199 @@
-"""Queries."""
+"""Queries of splits, folds, cohorts and forecasts."""
+
+from pyspark.sql import functions as F
+
+from zonecast import bindings as b
+from zonecast.catalog.panel import DEV_START, DEV_STOP
+from zonecast.catalog.registry import query
+from zonecast.operators import folds, forecasts, models, peers, temporal
+from zonecast.operators.scores import pooled_scores
+from zonecast.settings import BASELINES
+from zonecast.sources.tables import window_of
+
+FOLDS = folds.study_folds(b.START, b.BOUNDARIES, b.SEALED)
+WARMUP, EMBARGO = 174, 6
+KEYS = ["zone_id", "hour", "demand"]
+# Fits on the small driver tables use fewer rounds than the default 120.
+QUERY_ROUNDS = 10
+
+
+def development(spark, sf):
+    """The panel without sealed labels."""
+    return window_of(b.panel(spark, sf), DEV_START, DEV_STOP)
+
+
+def features(spark, sf):
+    return temporal.make_features(development(spark, sf))
+
+
+def assigned(spark, sf):
+    return folds.assign_folds(
+        temporal.drop_warmup(features(spark, sf)), FOLDS, WARMUP, EMBARGO
+    )
+
+
+def predictions(spark, sf):
+    return forecasts.walk_forward(
+        development(spark, sf), FOLDS, None, WARMUP, EMBARGO, b.SPARSE_MAX
+    )
+
+
+def delayed_predictions(spark, sf):
+    return forecasts.delay_study(
+        development(spark, sf), FOLDS, warmup_hours=WARMUP, embargo_hours=EMBARGO, sparse_max=b.SPARSE_MAX
+    )
+
+
+@query
+def local_boundary(spark, sf):
+    return folds.local_boundary(b.order_days(spark, sf))
+
+
+@query
+def chronological_split(spark, sf):
+    return folds.chronological_split(
+        b.panel(spark, sf).select(*KEYS), b.START, b.BOUNDARIES[2], b.SEALED
+    )
+
+
+@query
+def expanding_folds(spark, sf):
+    """One fold per month in which orders exist."""
+    months = b.order_days(spark, sf).select(
+        F.trunc("day", "month").cast("timestamp_ntz").alias("boundary")
+    ).distinct()
+    return folds.expanding_folds(months, "1994-12-01", "2001-01-01")
+
+
+@query
+def assign_folds(spark, sf):
+    return folds.assign_folds(b.panel(spark, sf).select(*KEYS), FOLDS, WARMUP, EMBARGO)
+
+
+@query
+def zone_cohort(spark, sf):
+    return folds.zone_cohort(assigned(spark, sf), b.SPARSE_MAX)
+
+
+@query
+def target_cohort(spark, sf):
+    return folds.target_cohort(b.panel(spark, sf).select(*KEYS))
+
+
+@query
+def check_label_availability(spark, sf):
+    plain = folds.assign_folds(temporal.drop_warmup(features(spark, sf)), FOLDS, 168, 3)
+    return folds.check_label_availability(plain, FOLDS, 6)
+
+
+@query
+def match_control(spark, sf):
+    loose = forecasts.walk_forward(development(spark, sf), FOLDS, None, 168, 0, b.SPARSE_MAX)
+    return forecasts.match_control(loose, predictions(spark, sf))
+
+
+@query
+def training_signature(spark, sf):
+    return forecasts.training_signature(assigned(spark, sf))
+
+
+@query
+def baseline_lags(spark, sf):
+    return forecasts.baseline_lags(features(spark, sf)).select(*KEYS, *BASELINES[:3])
+
+
+@query
+def zone_hour_average(spark, sf):
+    return forecasts.zone_hour_average(
+        temporal.drop_warmup(features(spark, sf)), FOLDS, WARMUP, EMBARGO
+    )
+
+
+@query
+def rolling_baseline(spark, sf):
+    return forecasts.rolling_baseline(features(spark, sf)).select(*KEYS, "rolling_mean_24h")
+
+
+@query
+def clip_predictions(spark, sf):
+    rows = features(spark, sf).select(*KEYS, F.col("trend_1").cast("double").alias("prediction"))
+    return forecasts.clip_predictions(rows.where("prediction IS NOT NULL"))
+
+
+@query
+def walk_forward(spark, sf):
+    return predictions(spark, sf)
+
+
+@query
+def delay_study(spark, sf):
+    return delayed_predictions(spark, sf)
+
+
+@query
+def score_next_hour(spark, sf):
+    def scorer(rows):
+        return rows.withColumn("prediction", F.col("rolling_mean_24") + F.col("trend_1") / 8)
+
+    return forecasts.score_next_hour(b.panel(spark, sf).select(*KEYS), scorer, DEV_STOP)
+
+
+def last_fold(spark, sf):
+    name = FOLDS[-1].name
+    rows = assigned(spark, sf).where(F.col("fold") == name)
+    return rows.where("role = 'train'"), rows.where("role = 'validation'")
+
+
+@query
+def linear_model(spark, sf):
+    return models.linear_model(*last_fold(spark, sf))
+
+
+@query
+def ridge_model(spark, sf):
+    return models.ridge_model(*last_fold(spark, sf))
+
+
+@query
+def boosted_model(spark, sf):
+    return models.boosted_model(*last_fold(spark, sf), rounds=QUERY_ROUNDS)
+
+
+@query
+def boosted_absolute(spark, sf):
+    return models.boosted_absolute(*last_fold(spark, sf), rounds=QUERY_ROUNDS)
+
+
+@query
+def poisson_model(spark, sf):
+    return models.poisson_model(*last_fold(spark, sf))
+
+
+@query
+def depth_grid(spark, sf):
+    return models.depth_grid(*last_fold(spark, sf), rounds=QUERY_ROUNDS)
+
+
+@query
+def borough_models(spark, sf):
+    rows = peers.make_peer_features(development(spark, sf), b.zones(spark, sf), b.REGIONS)
+    fold = FOLDS[-1]
+    ready = temporal.drop_warmup(rows).dropna(subset=list(peers.PEER_LAGS))
+    mine = folds.assign_folds(ready, [fold], WARMUP, EMBARGO)
+    static = list(peers.onehot_names(b.REGIONS).values())
+    return models.bundle_models(
+        mine.where("role = 'train'"),
+        mine.where("role = 'validation'"),
+        {"borough_static": static, "borough_context": [*static, *peers.PEER_LAGS]},
+        rounds=QUERY_ROUNDS,
+    )
+
+
+@query
+def fitted_walk_forward(spark, sf):
+    """All folds with two fitted models beside the baselines."""
+    fitted = {"linear_regression": models.linear_model, "ridge": models.ridge_model}
+    table = forecasts.walk_forward(
+        development(spark, sf), FOLDS, fitted, WARMUP, EMBARGO, b.SPARSE_MAX
+    )
+    return pooled_scores(table, [*BASELINES, *fitted])

@@ -4,6 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Far below the kept digits and far above summation noise.
+TIE_SHIFT = 2e-10
+
 
 def rows_from_columns(frame: DataFrame, names: list[str], key: str, value: str) -> DataFrame:
     """Turn the columns of a one-row aggregate into ``(key, value)`` rows."""
@@ -34,10 +37,14 @@ def long_models(frame: DataFrame, models: list[str], keep: list[str]) -> DataFra
 
 
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, so two engines can be compared by value."""
+    """Round every double column, so two engines can be compared by value.
+
+    The small shift moves exact ties such as 3/128, which summation order would otherwise send
+    either way.
+    """
     return frame.select(
         *[
-            F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+            F.round(F.col(f"`{f.name}`") + TIE_SHIFT, digits).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in frame.schema.fields

@@ -26,7 +26,7 @@ def strict(t):
 
 
 def r(x):
-    return f"(round(({x})::DOUBLE, 6) + 0.0::DOUBLE)"
+    return f"(round(({x})::DOUBLE + 2e-10::DOUBLE, 6) + 0.0::DOUBLE)"
 
 
 def cte(name, body):
