@@ -84,8 +84,8 @@ def coarse_trips(spark, sf):
     )
 
 
-def panel(spark, sf):
-    return prepare_panel(trips(spark, sf), zones(spark, sf), START, STOP)
+def panel(spark, sf, stop=STOP):
+    return prepare_panel(trips(spark, sf), zones(spark, sf), START, stop)
 
 
 def order_days(spark, sf):

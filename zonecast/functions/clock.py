@@ -25,8 +25,8 @@ def instant(value: str | datetime | Column) -> Column:
 
 def hours(count) -> Column:
     """An interval of whole hours."""
-    value = count if isinstance(count, Column) else F.lit(count)
-    return F.make_dt_interval(F.lit(0), value.cast("int"))
+    one = F.expr("interval '1' hour")
+    return one * (count if isinstance(count, Column) else F.lit(count))
 
 
 def hour_index(ts: Column) -> Column:
@@ -71,6 +71,17 @@ def strict_utc(ts: Column, zone: str = TIMEZONE) -> Column:
     return F.when(~skipped & ~repeated, utc)
 
 
+def resolved(frame, column: str = "hour", zone: str = TIMEZONE):
+    """Replace a local hour by its UTC hour and drop rows without one.
+
+    The one-element explode is a barrier: without it Spark pushes filters on the UTC hour below
+    the aggregation that made the hours, and the zone arithmetic would run once per raw row.
+    """
+    made = frame.withColumn("_utc", F.explode(F.array(strict_utc(F.col(column), zone))))
+    kept = [F.col("_utc").alias(column) if c == column else F.col(c) for c in frame.columns]
+    return made.where(F.col("_utc").isNotNull()).select(*kept)
+
+
 def day_text(ts: Column) -> Column:
     return ts.cast("date").cast("string")
 

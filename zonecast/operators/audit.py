@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.functions.clock import hour_floor, hours, month_text, strict_utc, to_local
+from zonecast.functions.clock import hour_floor, hours, month_text, resolved, to_local
 from zonecast.functions.tables import add_up, count_true
 from zonecast.operators.panel import PICKUP, ZONE, with_spine
 from zonecast.settings import REFERENCE_WEEKS
@@ -28,28 +28,24 @@ def exact_duplicates(frame: DataFrame) -> DataFrame:
 
 def duplicate_rollup(duplicates: DataFrame, zone: str = ZONE, pickup: str = PICKUP) -> DataFrame:
     """Per zone and UTC hour: surplus copies, groups, repeated rows, largest group."""
-    utc = strict_utc(hour_floor(F.col(pickup)))
-    return (
-        duplicates.groupBy(F.col(zone).cast("int").alias("zone_id"), utc.alias("hour"))
-        .agg(
-            F.sum(F.col("copies") - 1).alias("duplicate_excess"),
-            F.count(F.lit(1)).alias("duplicate_groups"),
-            F.sum("copies").alias("repeated_rows"),
-            F.max("copies").alias("max_copies"),
-        )
-        .where(F.col("hour").isNotNull())
+    local = duplicates.groupBy(
+        F.col(zone).cast("int").alias("zone_id"), hour_floor(F.col(pickup)).alias("hour")
+    ).agg(
+        F.sum(F.col("copies") - 1).alias("duplicate_excess"),
+        F.count(F.lit(1)).alias("duplicate_groups"),
+        F.sum("copies").alias("repeated_rows"),
+        F.max("copies").alias("max_copies"),
     )
+    return resolved(local)
 
 
 def vendor_counts(trips: DataFrame, vendor: str = "VendorID", pickup: str = PICKUP) -> DataFrame:
     """Eligible trips per vendor and UTC hour; a missing vendor is its own series."""
-    utc = strict_utc(hour_floor(F.col(pickup)))
     name = F.coalesce(F.col(vendor).cast("string"), F.lit("missing"))
-    return (
-        trips.groupBy(name.alias("vendor"), utc.alias("hour"))
-        .agg(F.count(F.lit(1)).alias("demand"))
-        .where(F.col("hour").isNotNull())
+    local = trips.groupBy(name.alias("vendor"), hour_floor(F.col(pickup)).alias("hour")).agg(
+        F.count(F.lit(1)).alias("demand")
     )
+    return resolved(local)
 
 
 def city_totals(panel: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from zonecast.operators.temporal import (
 from zonecast.settings import (
     BASELINES,
     DELAYS,
-    NUMERIC_FEATURES,
     SPARSE_ZONE_MEAN_MAX,
     STUDY_EMBARGO_HOURS,
     STUDY_WARMUP_HOURS,
@@ -165,7 +164,7 @@ def score_next_hour(panel: DataFrame, scorer, trained_until=None, minimum_hours:
         .select(*panel.columns)
     )
     featured = make_features(future_target_rows(recent))
-    target = drop_warmup(featured.where(F.col("demand").isNull()), NUMERIC_FEATURES)
+    target = drop_warmup(featured.where(F.col("demand").isNull()))
     if trained_until is not None:
         target = target.where(F.col("hour") > instant(trained_until))
     return clip_predictions(scorer(target)).select(

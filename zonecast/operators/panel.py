@@ -10,11 +10,12 @@ from zonecast.functions.clock import (
     instant,
     is_hour,
     month_text,
+    resolved,
     strict_utc,
     to_local,
     to_utc,
 )
-from zonecast.functions.tables import add_up, count_true
+from zonecast.functions.tables import add_up, count_true, small_side
 from zonecast.operators.contracts import check_rows
 from zonecast.settings import TIMEZONE
 
@@ -32,50 +33,68 @@ def months(bounds: DataFrame, start: str = "start", end: str = "end") -> DataFra
     )
 
 
-def listed_zone(trips: DataFrame, zones: DataFrame, zone: str = ZONE) -> DataFrame:
-    """Trips with ``listed``: whether the pickup zone is in the lookup.
+def monthly_quality(trips: DataFrame, zones: DataFrame) -> DataFrame:
+    """Overlapping quality flags per file month in one scan. Comparisons with NULL do not count.
 
-    A plain left join: Spark broadcasts the lookup when its size allows and otherwise shuffles,
-    and AQE splits a hot zone.
+    Flags are counted per month and zone first, so the lookup meets a few aggregated rows and
+    never the raw trips.
     """
-    known = zones.select(F.col("zone_id").alias(zone)).distinct().withColumn("_in", F.lit(True))
-    return trips.join(known, zone, "left").withColumn("listed", F.col("_in").isNotNull()).drop("_in")
-
-
-def monthly_quality(trips: DataFrame, zones: DataFrame) -> DataFrame:
-    """Overlapping quality flags per file month in one scan. Comparisons with NULL do not count."""
     pickup = F.col(PICKUP)
-    flagged = listed_zone(trips, zones)
-    return flagged.groupBy(F.col("file_month").alias("month")).agg(
-        F.count(F.lit(1)).alias("raw_rows"),
-        count_true(pickup.isNull()).alias("null_pickups"),
-        count_true(month_text(pickup) != F.col("file_month")).alias("outside_file_month"),
-        count_true(~F.col("listed")).alias("non_nyc_or_invalid_zone"),
-        count_true(F.col("passenger_count").isNull()).alias("missing_passenger_count"),
-        count_true(F.col("trip_distance") <= 0).alias("nonpositive_distance"),
-        count_true(F.col("fare_amount") < 0).alias("negative_fare"),
-        count_true(F.col(DROPOFF) <= pickup).alias("nonpositive_duration"),
+    flags = {
+        "raw_rows": F.lit(True),
+        "null_pickups": pickup.isNull(),
+        "outside_file_month": month_text(pickup) != F.col("file_month"),
+        "missing_passenger_count": F.col("passenger_count").isNull(),
+        "nonpositive_distance": F.col("trip_distance") <= 0,
+        "negative_fare": F.col("fare_amount") < 0,
+        "nonpositive_duration": F.col(DROPOFF) <= pickup,
+    }
+    by_zone = trips.groupBy(F.col("file_month").alias("month"), F.col(ZONE).alias("zone_id")).agg(
+        *[count_true(rule).alias(name) for name, rule in flags.items()]
+    )
+    listed = zones.select("zone_id").distinct().withColumn("listed", F.lit(True))
+    unlisted = F.when(F.col("listed").isNull(), F.col("raw_rows")).otherwise(0)
+    sums = {name: F.sum(name) for name in flags} | {"non_nyc_or_invalid_zone": F.sum(unlisted)}
+    order = list(flags)[:3] + ["non_nyc_or_invalid_zone"] + list(flags)[3:]
+    return (
+        by_zone.join(listed, "zone_id", "left")
+        .groupBy("month")
+        .agg(*[sums[name].alias(name) for name in order])
     )
 
 
-def eligible_trips(trips: DataFrame, zones: DataFrame, start, stop) -> DataFrame:
-    """Pickups inside ``[start, stop)`` (local), inside their file month and in a listed zone."""
+def in_window(trips: DataFrame, start, stop) -> DataFrame:
+    """Pickups inside ``[start, stop)`` (local) and inside their file month."""
     pickup = F.col(PICKUP)
     inside = trips.where((pickup >= instant(start)) & (pickup < instant(stop)))
     if "file_month" in trips.columns:
         inside = inside.where(month_text(pickup) == F.col("file_month"))
-    return inside.join(zones.select(F.col("zone_id").alias(ZONE)), ZONE, "left_semi").select(
-        *trips.columns
-    )
+    return inside
+
+
+def eligible_trips(trips: DataFrame, zones: DataFrame, start, stop) -> DataFrame:
+    """Pickups of the window in a listed zone. Fare and distance never filter.
+
+    Raw trips are only shuffled when the lookup is too large to broadcast.
+    """
+    keys = small_side(zones.select(F.col("zone_id").alias(ZONE)))
+    return in_window(trips, start, stop).join(keys, ZONE, "left_semi").select(*trips.columns)
 
 
 def hourly_counts(trips: DataFrame, zones: DataFrame, start, stop) -> DataFrame:
-    """Eligible pickups per zone and local hour. Counts combine before the shuffle."""
-    return (
-        eligible_trips(trips, zones, start, stop)
+    """Eligible pickups per zone and local hour.
+
+    Trips are counted before they meet the lookup: the scan feeds partial counts and nothing
+    else is shuffled, whatever share of the trips one zone holds.
+    """
+    counted = (
+        in_window(trips, start, stop)
         .groupBy(F.col(ZONE).cast("int").alias("zone_id"), hour_floor(F.col(PICKUP)).alias("hour"))
         .agg(F.count(F.lit(1)).alias("demand"))
     )
+    return counted.join(zones.select("zone_id"), "zone_id", "left_semi").select(
+        "zone_id", "hour", "demand"
+    )
 
 
 def local_to_utc(frame: DataFrame, column: str = "hour", zone: str = TIMEZONE) -> DataFrame:
@@ -85,19 +104,17 @@ def local_to_utc(frame: DataFrame, column: str = "hour", zone: str = TIMEZONE) -
 
 def utc_counts(counts: DataFrame) -> DataFrame:
     """Resolvable counts on the UTC clock."""
-    return (
-        local_to_utc(counts).where(F.col("utc").isNotNull()).select("zone_id", F.col("utc").alias("hour"), "demand")
-    )
+    return resolved(counts)
 
 
 def dst_dropped(counts: DataFrame, quality: DataFrame) -> DataFrame:
     """Per month: pickups lost to unresolvable hours, accepted and excluded pickups."""
-    resolved = local_to_utc(counts).groupBy(month_text(F.col("hour")).alias("month")).agg(
+    by_month = local_to_utc(counts).groupBy(month_text(F.col("hour")).alias("month")).agg(
         add_up(F.when(F.col("utc").isNull(), F.col("demand")).otherwise(0)).alias("lost"),
         add_up(F.when(F.col("utc").isNotNull(), F.col("demand")).otherwise(0)).alias("kept"),
     )
     zero = F.lit(0).cast("bigint")
-    return quality.select("month", "raw_rows").join(resolved, "month", "left").select(
+    return quality.select("month", "raw_rows").join(by_month, "month", "left").select(
         "month",
         F.coalesce("lost", zero).alias("unresolvable_dst_pickups"),
         F.coalesce("kept", zero).alias("accepted_pickups"),
@@ -143,16 +160,29 @@ def zone_grid_hours(zones: DataFrame, start, stop) -> DataFrame:
     return with_spine(zones.select("zone_id"), start, stop)
 
 
+def filled(counts: DataFrame, zones: DataFrame, start, stop, attributes: list[str]) -> DataFrame:
+    """Grid rows with 0 and count rows, added up per key in a single aggregation."""
+    keys = ["zone_id", *attributes, "hour"]
+    empty = with_spine(zones.select("zone_id", *attributes), start, stop).withColumn(
+        "demand", F.lit(0).cast("bigint")
+    )
+    seen = counts.select(*keys, F.col("demand").cast("bigint").alias("demand"))
+    return (
+        empty.select(*keys, "demand")
+        .unionByName(seen)
+        .groupBy(*keys)
+        .agg(F.sum("demand").cast("int").alias("demand"))
+        .select("zone_id", "hour", "demand", *attributes)
+    )
+
+
 def densify(counts: DataFrame, zones: DataFrame, start, stop) -> DataFrame:
     """Zero-filled ``zone_id, hour, demand``.
 
-    The grid and the counts are added up in one aggregation, so there is a single shuffle.
     Run ``check_counts`` first: a count outside the grid must be an error, here it would
     stay a row of its own and break ``check_conservation``.
     """
-    empty = zone_grid_hours(zones, start, stop).withColumn("demand", F.lit(0).cast("bigint"))
-    both = empty.unionByName(counts.select("zone_id", "hour", F.col("demand").cast("bigint").alias("demand")))
-    return both.groupBy("zone_id", "hour").agg(F.sum("demand").cast("int").alias("demand"))
+    return filled(counts, zones, start, stop, [])
 
 
 def attach_zone(frame: DataFrame, zones: DataFrame) -> DataFrame:
@@ -161,9 +191,12 @@ def attach_zone(frame: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def prepare_panel(trips: DataFrame, zones: DataFrame, start, stop) -> DataFrame:
-    """Trips to ``zone_id, hour, demand, borough, Zone`` for all months in one scan."""
-    counts = utc_counts(hourly_counts(trips, zones, start, stop))
-    return attach_zone(densify(counts, zones, start, stop), zones)
+    """Trips to ``zone_id, hour, demand, borough, Zone`` for all months in one scan.
+
+    Attributes join the sparse counts, not the dense panel, and travel as grouping keys.
+    """
+    counts = attach_zone(utc_counts(hourly_counts(trips, zones, start, stop)), zones)
+    return filled(counts, zones, start, stop, ["borough", "Zone"])
 
 
 def panel_summary(panel: DataFrame) -> DataFrame:

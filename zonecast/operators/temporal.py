@@ -17,7 +17,6 @@ from zonecast.settings import (
     LAGS,
     MEAN_WIDTHS,
     MORNING_EVENING_RUSH,
-    NUMERIC_FEATURES,
     STD_WIDTH,
     TIMEZONE,
 )
@@ -190,5 +189,6 @@ def future_target_rows(panel: DataFrame) -> DataFrame:
     return panel.unionByName(missing.select(*panel.columns))
 
 
-def drop_warmup(features: DataFrame, needed=NUMERIC_FEATURES) -> DataFrame:
+def drop_warmup(features: DataFrame, needed=HISTORY) -> DataFrame:
+    """Rows with a full history. Calendar features are never missing and are not looked at."""
     return features.dropna(subset=list(needed))
