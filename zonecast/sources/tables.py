@@ -117,7 +117,8 @@ def write_run_record(record: DataFrame, path: str) -> None:
             bad = bad | F.coalesce(~finite(F.col(name)), F.lit(False))
         if not record.where(bad).isEmpty():
             raise ValueError("Run records must not contain NaN or infinities")
-    record.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+    # One row, so one file.
+    record.coalesce(1).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
 def export_nested(predictions: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
