@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from zonecast import bindings as b
 from zonecast import catalog
-from zonecast.catalog.scores import BLOCKS, CONTRASTS, PRIMARY, SEED, losses, pooled
-from zonecast.operators import resample
+from zonecast.catalog.scores import sensitivity
 from zonecast.session import build_session
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -43,9 +42,7 @@ HEADLINE = (
 
 def bootstrap_10000(spark, sf):
     """The full-size bootstrap: 10,000 replicates for three block lengths."""
-    return resample.block_sensitivity(
-        losses(spark, sf), pooled(spark, sf), CONTRASTS, BLOCKS, PRIMARY, 10_000, SEED
-    )
+    return sensitivity(spark, sf, 10_000)
 
 
 def run(frame):

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from zonecast import bindings as b
 from zonecast.catalog.registry import query
-from zonecast.catalog.study import development, features, predictions
+from zonecast.catalog.study import development, predictions
+from zonecast.functions.clock import to_local
 from zonecast.operators import contracts, explorer, folds, reports
 from zonecast.sources import tables as sources
 
@@ -24,9 +25,8 @@ def long(spark, sf):
 
 
 def banded(spark, sf):
-    made = features(spark, sf).select("zone_id", "hour", "demand", "weekday")
-    split = folds.chronological_split(made, b.START, b.BOUNDARIES[2], b.SEALED)
-    rows = predictions(spark, sf).join(made.select("zone_id", "hour", "weekday"), ["zone_id", "hour"])
+    split = folds.chronological_split(development(spark, sf), b.START, b.BOUNDARIES[2], b.SEALED)
+    rows = predictions(spark, sf).withColumn("weekday", F.weekday(to_local(F.col("hour"))))
     return reports.demand_bands(rows, split.where("role = 'train'"))
 
 

@@ -6,6 +6,7 @@ from zonecast import bindings as b
 from zonecast.catalog.registry import query
 from zonecast.catalog.study import FOLDS, delayed_predictions, features, predictions
 from zonecast.operators import contracts, resample, scores
+from zonecast.session import cut_lineage
 from zonecast.settings import BASELINES
 
 MODELS = list(BASELINES)
@@ -23,16 +24,24 @@ def daily(spark, sf):
     return scores.daily_scores(predictions(spark, sf), MODELS)
 
 
-def losses(spark, sf):
-    return resample.loss_matrix(daily(spark, sf), resample.day_weights(b.zones(spark, sf), FOLDS))
+def stored_daily(spark, sf):
+    """The daily error table behind a checkpoint: tiny, expensive, and read several times."""
+    return cut_lineage(daily(spark, sf))
+
+
+def losses(spark, sf, table=None):
+    table = daily(spark, sf) if table is None else table
+    return resample.loss_matrix(table, resample.day_weights(b.zones(spark, sf), FOLDS))
 
 
 def pooled(spark, sf):
     return scores.pooled_scores(predictions(spark, sf), MODELS)
 
 
-def draws(spark, sf, blocks=BLOCKS):
-    return resample.bootstrap_mae(losses(spark, sf), blocks, REPLICATES, SEED)
+def draws_and_pooled(spark, sf, blocks=BLOCKS, replicates=REPLICATES):
+    table = stored_daily(spark, sf)
+    drawn = resample.bootstrap_mae(losses(spark, sf, table), blocks, replicates, SEED)
+    return drawn, scores.pooled_from_daily(table)
 
 
 @query
@@ -153,30 +162,40 @@ def circular_blocks(spark, sf):
 
 @query
 def bootstrap_mae(spark, sf):
-    return draws(spark, sf)
+    return draws_and_pooled(spark, sf)[0]
 
 
 @query
 def contrast_intervals(spark, sf):
     return resample.contrast_intervals(
-        draws(spark, sf, (PRIMARY,)), pooled(spark, sf), CONTRASTS, PRIMARY
+        *draws_and_pooled(spark, sf, (PRIMARY,)), CONTRASTS, PRIMARY
     )
 
 
 @query
 def family_intervals(spark, sf):
-    return resample.family_intervals(
-        draws(spark, sf, (PRIMARY,)), pooled(spark, sf), CONTRASTS, PRIMARY
+    return resample.family_intervals(*draws_and_pooled(spark, sf, (PRIMARY,)), CONTRASTS, PRIMARY)
+
+
+def sensitivity(spark, sf, replicates):
+    table = stored_daily(spark, sf)
+    return resample.block_sensitivity(
+        losses(spark, sf, table),
+        scores.pooled_from_daily(table),
+        CONTRASTS,
+        BLOCKS,
+        PRIMARY,
+        replicates,
+        SEED,
     )
 
 
 @query
 def block_sensitivity(spark, sf):
-    return resample.block_sensitivity(
-        losses(spark, sf), pooled(spark, sf), CONTRASTS, BLOCKS, PRIMARY, REPLICATES, SEED
-    )
+    return sensitivity(spark, sf, REPLICATES)
 
 
 @query
 def linear_percentiles(spark, sf):
-    return resample.linear_percentiles(draws(spark, sf), CONTRASTS, (0.025, 0.5, 0.975))
+    drawn, _ = draws_and_pooled(spark, sf)
+    return resample.linear_percentiles(drawn, CONTRASTS, (0.025, 0.5, 0.975))

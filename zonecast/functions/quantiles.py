@@ -26,7 +26,7 @@ def exact_quantiles(
     )
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = counted.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_v", steps, F.lit(100 * buckets))).alias("_edges")
+        F.array_distinct(F.percentile_approx("_v", steps, F.lit(20 * buckets))).alias("_edges")
     )
     placed = counted.join(edges, keys).withColumn(
         "_bucket", F.size(F.filter("_edges", lambda e: e < F.col("_v")))

@@ -104,15 +104,22 @@ def assign_folds(
     return features.where(span).select(*features.columns, F.inline(mine))
 
 
+def zone_keys(assigned: DataFrame) -> list[str]:
+    """Fold and zone; the borough rides along, so that training means and validation rows need
+    the same columns and Spark shuffles the panel once for both."""
+    return ["fold", "zone_id", *[c for c in ("borough",) if c in assigned.columns]]
+
+
 def zone_means(assigned: DataFrame) -> DataFrame:
     """Training mean per fold and zone, and the 24 local-hour means as a map."""
+    keys = zone_keys(assigned)
     by_hour = (
         assigned.where(F.col("role") == "train")
-        .groupBy("fold", "zone_id", "local_hour")
+        .groupBy(*keys, "local_hour")
         .agg(F.sum("demand").alias("s"), F.count("demand").alias("n"))
     )
     entries = F.collect_list(F.struct("local_hour", (F.col("s") / F.col("n")).alias("m")))
-    return by_hour.groupBy("fold", "zone_id").agg(
+    return by_hour.groupBy(*keys).agg(
         (F.sum("s") / F.sum("n")).alias("zone_mean"), F.map_from_entries(entries).alias("hour_means")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonecast.functions.clock import hours, instant
 from zonecast.operators.contracts import table_fingerprint
-from zonecast.operators.folds import Fold, assign_folds, cohort_of, target_cohort, zone_means
+from zonecast.operators.folds import Fold, assign_folds, cohort_of, target_cohort, zone_keys, zone_means
 from zonecast.operators.temporal import (
     cyclic,
     delayed_features,
@@ -52,7 +52,7 @@ def with_zone_means(assigned: DataFrame, sparse_max: float) -> DataFrame:
     The average stays NULL for a zone without training rows, which ``check_scores_input`` reports.
     """
     valid = assigned.where(F.col("role") == "validation")
-    joined = valid.join(zone_means(assigned), ["fold", "zone_id"], "left")
+    joined = valid.join(zone_means(assigned), zone_keys(assigned), "left")
     hourly = F.try_element_at("hour_means", F.col("local_hour"))
     return joined.withColumns(
         {
@@ -138,7 +138,7 @@ def delay_study(
     features = cyclic(local_calendar(delayed_features(panel, delays)))
     assigned = assign_folds(drop_warmup(features), folds, warmup_hours, embargo_hours)
     means = zone_means(assigned.where(F.col("delay_hours") == min(delays)))
-    joined = assigned.where("role = 'validation'").join(means, ["fold", "zone_id"], "left")
+    joined = assigned.where("role = 'validation'").join(means, zone_keys(assigned), "left")
     rows = joined.withColumns(
         {
             "zone_hour_average": F.coalesce(

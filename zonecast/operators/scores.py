@@ -138,12 +138,16 @@ def delay_effects(scores: DataFrame, model: str) -> DataFrame:
     )
 
 
+def pooled_from_daily(daily: DataFrame) -> DataFrame:
+    """Pooled MAE per model as the row-weighted mean of daily MAEs."""
+    return daily.groupBy("model").agg(
+        (F.sum(F.col("rows") * F.col("mae")) / F.sum("rows")).alias("mae"), F.sum("rows").alias("rows")
+    )
+
+
 def reconcile_daily(daily: DataFrame, pooled: DataFrame) -> DataFrame:
     """Row-weighted daily MAE against the pooled MAE per model."""
-    total = daily.groupBy("model").agg(
-        (F.sum(F.col("rows") * F.col("mae")) / F.sum("rows")).alias("daily_mae"),
-        F.sum("rows").alias("rows"),
-    )
+    total = pooled_from_daily(daily).withColumnRenamed("mae", "daily_mae")
     return total.join(pooled.select("model", "mae"), "model", "full_outer").select(
         "model", "rows", "daily_mae", "mae", F.abs(F.col("daily_mae") - F.col("mae")).alias("difference")
     )
