@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from zonecast.llm import codes, mixing, packing, shards, tries
+from zonecast.llm import codes, language, mixing, packing, projections, retrieval, setsketch, shards, tries
 from zonecast.llm.store import new_path
 
 SHARDS = 40
@@ -15,6 +15,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_string_kernels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    apart = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.where(~apart).select("text", "lang"))
+    return language.predict(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 def op2_sampled_splitters(spark, sf_dir):
     placed = shards.shard(shards.digest(table(spark, sf_dir, "documents")), SHARDS)
     return placed.select(
@@ -32,6 +39,10 @@ def op5_trie_counts(spark, sf_dir):
     return tries.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def op6_collision_counting(spark, sf_dir):
+    return projections.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op7_exact_complements(spark, sf_dir):
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     digests = pieces.select("part", "doc_id", "piece", "start", F.col("length").cast("long"), "rank", F.crc32("ids").alias("ids_crc32"))
@@ -40,14 +51,27 @@ def op7_exact_complements(spark, sf_dir):
     )
 
 
+def op8_norm_buckets(spark, sf_dir):
+    vectors = retrieval.quantized(table(spark, sf_dir, "embeddings"))
+    return retrieval.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op9_weighted_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_setsketch(spark, sf_dir):
+    return setsketch.near_documents(table(spark, sf_dir, "documents"), 75)
+
+
 QUERIES = {
+    "op1_string_kernels": op1_string_kernels,
     "op2_sampled_splitters": op2_sampled_splitters,
     "op4_addressable_codes": op4_addressable_codes,
     "op5_trie_counts": op5_trie_counts,
+    "op6_collision_counting": op6_collision_counting,
     "op7_exact_complements": op7_exact_complements,
+    "op8_norm_buckets": op8_norm_buckets,
     "op9_weighted_mix": op9_weighted_mix,
+    "op10_setsketch": op10_setsketch,
 }
