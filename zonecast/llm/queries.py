@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from zonecast.llm import codes, language, mixing, packing, projections, retrieval, setsketch, shards, tries
+from zonecast.llm import codes, language, mixing, packing, phrases, projections, retrieval, setsketch, shards, tries
 from zonecast.llm.store import new_path
 
 SHARDS = 40
@@ -29,6 +29,12 @@ def op2_sampled_splitters(spark, sf_dir):
     )
 
 
+def op3_phrase_automata(spark, sf_dir):
+    kept = phrases.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 def op4_addressable_codes(spark, sf_dir):
     path = new_path(spark, "codes")
     codes.write_codes(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE))
@@ -67,6 +73,7 @@ def op10_setsketch(spark, sf_dir):
 QUERIES = {
     "op1_string_kernels": op1_string_kernels,
     "op2_sampled_splitters": op2_sampled_splitters,
+    "op3_phrase_automata": op3_phrase_automata,
     "op4_addressable_codes": op4_addressable_codes,
     "op5_trie_counts": op5_trie_counts,
     "op6_collision_counting": op6_collision_counting,

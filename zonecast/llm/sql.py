@@ -78,4 +78,19 @@ low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(l.m, n.doc_id)) AS component_id,
        n.doc_id <= coalesce(l.m, n.doc_id) AS kept
 FROM n LEFT JOIN low l ON n.doc_id = l.a""",
+    "op3_phrase_automata": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS s
+  FROM w WHERE len(w) >= 13),
+firsts AS (SELECT s, min(doc_id) AS f FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM (
+    SELECT x.doc_id, x.i, unnest(range(0, 13)) AS k FROM windows x JOIN firsts f ON x.s = f.s WHERE f.f < x.doc_id)),
+lost AS (SELECT doc_id, list(i) AS p FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, len(w.w) AS n, coalesce(len(l.p), 0) AS r,
+         list_filter(w.w, lambda x, i: l.p IS NULL OR NOT list_contains(l.p, i)) AS k
+  FROM w LEFT JOIN lost l ON w.doc_id = l.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""",
 }
