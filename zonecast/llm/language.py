@@ -170,6 +170,28 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predicted, f"doc_id {kind}, lang_pred string, score double")
 
 
+def in_known_language(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language with a score of ``least`` or more.
+
+    A text without a letter is not; so is none if there is no model.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep = np.zeros(len(texts), dtype=bool)
+            real = [i for i, text in enumerate(texts) if known is not None and has_letter(text)]
+            for begin in range(0, len(real), BLOCK):
+                some = real[begin : begin + BLOCK]
+                keep[some] = known.scores([texts[i] for i in some]).max(axis=1) >= least
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(good, docs.schema)
+
+
 def held_out(doc_id) -> F.Column:
     """Rows kept from fitting: crc32 of the id as text leaves 2 when divided by 4. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
