@@ -41,7 +41,7 @@ def quantized(rows: DataFrame, column: str = "embedding", scale: float = 64.0) -
 
 def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.int64())
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), dim).astype(np.float64)
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ keeps its ids. Ids stay little-endian unsigned 32-bit bytes throughout.
 """
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ class WordIds:
         """Letters end a pre-token before a tail of punctuation, and case is folded for plain letters."""
         part = part.lower() if part.isascii() and "<|" not in part else part
         core = part.rstrip(PUNCTUATION)
-        if core and len(core) < len(part) and core[-1].isalpha():
+        if core and len(core) < len(part) and unicodedata.normalize("NFC", core[-1]).lower()[-1].isalpha():
             return core, part[len(core) :]
         return (part,)
 
