@@ -1,6 +1,6 @@
 """The driver tables seen as trips, zones, weather and geometry. Definitions are in FIXTURES.md."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonecast.functions.clock import hour_floor, hours, month_text
@@ -16,7 +16,7 @@ SPARSE_MAX = 0.1
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 STATIONS = {"clk": "click", "err": "error", "viw": "view"}
 COORDINATES = {"click": (40.0, -73.0), "error": (40.0, -73.0), "view": (40.0, -73.0)}
-MAX_AGE_HOURS = 4
+MAX_AGE_HOURS = 12
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -101,7 +101,7 @@ def local_hours(spark, sf):
 
 
 def raw_weather(spark, sf):
-    """Three event types as weather stations, one row per station and second."""
+    """All events as weather readings: each type is a station, and so is each further reading of a second."""
     k = F.col("k")
     source = F.element_at(F.array(*[F.lit(v) for v in ("223", "412", "413", "999")]), k % 4 + 1)
     quality = F.element_at(F.array(*[F.lit(v) for v in ("1", "1", "1", "", "2")]), k % 5 + 1)
@@ -111,16 +111,24 @@ def raw_weather(spark, sf):
     plain = F.when(k % 7 == 0, F.lit("A")).otherwise(F.lit(""))
     wind = F.when(k % 7 == 0, F.lit("A")).when(k % 7 == 1, F.lit("N")).otherwise(F.lit(""))
     at = F.col("ts") + F.make_dt_interval(F.lit(SHIFT_DAYS))
+    # Readings of one type and second are given to stations of their own, so that none is dropped.
+    same = Window.partitionBy("event_type", "DATE").orderBy("event_id")
     first = (
         table(spark, sf, "events")
-        .where(F.col("event_type").isin(*STATIONS.values()))
-        .withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
-        .groupBy(
-            F.col("event_type").alias("STATION"),
+        .select(
+            "event_type",
             F.replace(F.substring(at.cast("string"), 1, 19), F.lit(" "), F.lit("T")).alias("DATE"),
+            F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"),
+            "value",
+            "event_id",
+        )
+        .withColumn("n", F.row_number().over(same))
+        .select(
+            F.concat("event_type", F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n"))).otherwise("")).alias("STATION"),
+            "DATE",
+            "k",
+            "value",
         )
-        .agg(F.min_by(F.struct("k", "value"), "event_id").alias("r"))
-        .select("STATION", "DATE", "r.*")
     )
     measured = {
         "temperature": F.when(k % 11 != 0, F.col("value") / 10 - 5),
