@@ -1,5 +1,6 @@
 import csv
 import glob
+import shutil
 import io
 from datetime import datetime
 
@@ -26,10 +27,21 @@ def test_panel_round_trip_and_pushdown(spark, tmp_path):
 
 def test_trip_files_carry_their_month(spark, tmp_path):
     for month in ("2026-01", "2026-02"):
-        spark.range(3).write.parquet(str(tmp_path / f"trips_{month}"))
-    files = glob.glob(f"{tmp_path}/trips_2026-0[12]")
-    made = sources.read_trips(spark, *files, month_pattern=r"part-(\d{5})")
-    assert made.where(F.col("file_month").isNull()).count() == 0
+        spark.range(3).coalesce(1).write.parquet(str(tmp_path / f"trips_{month}"))
+        spark.range(4).write.parquet(str(tmp_path / "by" / f"month={month}"))
+        part = glob.glob(f"{tmp_path}/trips_{month}/part-*")[0]
+        shutil.copy(part, tmp_path / f"yellow_{month}.parquet")
+    shutil.copy(part, tmp_path / "nameless.parquet")
+    shutil.copy(part, tmp_path / "part-00000-3543-2026.parquet")
+    months = lambda *paths: sorted(r["file_month"] for r in sources.read_trips(spark, *paths).collect())
+    want = ["2026-01"] * 3 + ["2026-02"] * 3
+    assert months(*glob.glob(f"{tmp_path}/trips_2026-0[12]")) == want
+    assert months(*glob.glob(f"{tmp_path}/yellow_*")) == want
+    assert months(*glob.glob(f"{tmp_path}/by/*")) == ["2026-01"] * 4 + ["2026-02"] * 4
+    for name in ("nameless.parquet", "part-00000-3543-2026.parquet"):
+        with pytest.raises(Exception, match="No month"):
+            months(str(tmp_path / name))
+    assert "file_month" not in sources.read_trips(spark, str(tmp_path / "nameless.parquet"), month_pattern=None).columns
     both = spark.createDataFrame([("2026-01",), ("2026-02",), (None,)], "file_month string")
     assert sources.trips_of_months(both, "2026-02", "2026-03").count() == 1
 

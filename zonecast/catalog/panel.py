@@ -177,11 +177,8 @@ def hour_spine(spark, sf):
     starts = b.order_days(spark, sf).groupBy(F.trunc("day", "month").alias("first")).agg(
         F.count(F.lit(1)).alias("days")
     )
-    begin = panel.to_utc(F.col("first").cast("timestamp_ntz"))
-    end = panel.to_utc(F.add_months("first", 1).cast("timestamp_ntz"))
-    stepped = starts.withColumn(
-        "hour", F.explode(F.sequence(begin, end - hours(1), F.expr("interval 1 hour")))
-    )
+    first = F.col("first").cast("timestamp_ntz")
+    stepped = panel.with_spine(starts, first, F.add_months("first", 1).cast("timestamp_ntz"))
     local = panel.to_local(F.col("hour"))
     return stepped.groupBy("first").agg(
         F.count(F.lit(1)).alias("utc_hours"), F.countDistinct(local).alias("local_hours")

@@ -17,7 +17,7 @@ CONTRASTS = (
     ("rolling_mean_24h", "zone_hour_average"),
 )
 BLOCKS, PRIMARY = (2, 1, 4), 2
-REPLICATES, SEED = 200, 42
+REPLICATES, SEED = 10_000, 42
 
 
 def daily(spark, sf):

@@ -50,16 +50,3 @@ def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
             for f in frame.schema.fields
         ]
     )
-
-
-BROADCAST_ROWS = 200_000
-
-
-def small_side(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint when the side is proven to have at most ``limit`` narrow rows.
-
-    The proof is a count that stops at the limit. A larger side is returned as it is and Spark
-    shuffles the join.
-    """
-    counted = frame.limit(limit + 1).count()
-    return F.broadcast(frame) if counted <= limit else frame

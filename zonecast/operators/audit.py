@@ -79,7 +79,7 @@ def reporting_volume_flags(
     still spread over all tasks.
     """
     if min_reference <= 0 or not 0 < fraction < 1:
-        raise ValueError("Invalid coverage thresholds")
+        raise ValueError("min_reference must be positive and fraction between 0 and 1")
     offsets = F.array(*[F.lit(168 * w) for w in (0, *weeks)])
     sent = series.select("series", "hour", "demand", F.explode(offsets).alias("ahead")).select(
         "series", (F.col("hour") + hours(F.col("ahead"))).alias("hour"), "demand", "ahead"

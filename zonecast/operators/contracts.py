@@ -22,7 +22,7 @@ INT32_MAX = 2147483647
 
 def require(checks: DataFrame) -> None:
     """Raise with the names of all failed checks. The table has a handful of rows."""
-    failed = checks.where(F.col("bad_rows") > 0).take(50)
+    failed = checks.where(F.col("bad_rows") > 0).collect()
     if failed:
         raise ValueError("; ".join(f"{r['check']}: {r['bad_rows']}" for r in failed))
 

@@ -45,11 +45,6 @@ def borough_summary(rows: DataFrame, models: dict[str, str]) -> DataFrame:
     )
 
 
-def search_text(text):
-    """Case and spacing do not matter in a search."""
-    return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
-
-
 def zone_search(zones: DataFrame, borough: str, query: str) -> DataFrame:
     """Zones of a borough by exact id (digits) or by part of the name, sorted by name."""
     term = " ".join(query.split()).lower()
@@ -156,11 +151,14 @@ def export_rows(rows: DataFrame, models: list[str], study_id: str, scope: str) -
     )
 
 
-def map_intensity(long: DataFrame) -> DataFrame:
+def map_intensity(long: DataFrame, borough: str | None = None) -> DataFrame:
     """Demand and absolute error per zone and hour on a square-root scale of the hour's maximum.
 
-    The maxima are aggregated and joined back, so no task holds a whole hour.
+    The maximum is that of the zones shown: of ``borough``, or of all. Maxima are aggregated and joined
+    back, so no task holds a whole hour.
     """
+    if borough is not None:
+        long = long.where(F.col("borough") == borough)
     measures = F.array(
         F.struct(F.lit("demand").alias("measure"), F.col("actual").alias("level")),
         F.struct(F.lit("absolute_error").alias("measure"), F.abs("error").alias("level")),

@@ -15,7 +15,7 @@ from zonecast.functions.clock import (
     to_local,
     to_utc,
 )
-from zonecast.functions.tables import add_up, count_true, small_side
+from zonecast.functions.tables import add_up, count_true
 from zonecast.operators.contracts import check_rows
 from zonecast.settings import TIMEZONE
 
@@ -75,9 +75,9 @@ def in_window(trips: DataFrame, start, stop) -> DataFrame:
 def eligible_trips(trips: DataFrame, zones: DataFrame, start, stop) -> DataFrame:
     """Pickups of the window in a listed zone. Fare and distance never filter.
 
-    Raw trips are only shuffled when the lookup is too large to broadcast.
+    Spark broadcasts a lookup below its own threshold and shuffles the join beyond it.
     """
-    keys = small_side(zones.select(F.col("zone_id").alias(ZONE)))
+    keys = zones.select(F.col("zone_id").alias(ZONE))
     return in_window(trips, start, stop).join(keys, ZONE, "left_semi").select(*trips.columns)
 
 

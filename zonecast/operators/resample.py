@@ -59,7 +59,7 @@ def block_starts(folds: DataFrame, block_days, replicates: int, seed: int) -> Da
     planned = folds.select("fold", "days", blocks).withColumn(
         "block_days",
         F.when(F.col("block_days") <= F.col("days"), F.col("block_days")).otherwise(
-            F.raise_error(F.lit("Block length cannot exceed a fold's day count"))
+            F.raise_error(F.lit("A block is longer than a fold has days"))
         ),
     )
     # Replicates spread over tasks before they grow into blocks.
@@ -137,7 +137,7 @@ def paired_draws(draws: DataFrame, contrasts) -> DataFrame:
         mine("candidate").alias("c"), mine("reference").alias("r")
     )
     safe = F.when(F.col("r") > 0, F.col("r")).otherwise(
-        F.raise_error(F.lit("Relative MAE reduction is undefined for a zero-MAE reference"))
+        F.raise_error(F.lit("The reference model makes no error, so no share of it can be given"))
     )
     return paired.select(
         "block_days",
@@ -227,7 +227,7 @@ def family_intervals(
 ) -> DataFrame:
     """Adds Bonferroni-widened difference intervals over all contrasts."""
     if not 0 < family_confidence < 1:
-        raise ValueError("Invalid family confidence level")
+        raise ValueError("family_confidence must lie between 0 and 1")
     return intervals(draws, pooled, contrasts, primary_block, confidence, family_confidence)
 
 

@@ -3,10 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.functions.accuracy import METRICS, error_sums, merged_sums, metric_columns
+from zonecast.functions.accuracy import error_sums, merged_sums, metric_columns
 from zonecast.functions.clock import day_text, to_local
 from zonecast.functions.tables import long_models
-from zonecast.operators.contracts import reconcile_scores
 from zonecast.settings import SLICE_DIMENSIONS
 
 
@@ -181,7 +180,3 @@ def select_champion(pooled: DataFrame, fitted: list[str]) -> DataFrame:
             F.when(F.col("model").isin(*fitted), order),
         ).alias("best_ml"),
     )
-
-
-def reconcile_metric_tables(stored: DataFrame, recomputed: DataFrame, keys: list[str]) -> DataFrame:
-    return reconcile_scores(stored, recomputed, keys, list(METRICS))

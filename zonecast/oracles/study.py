@@ -228,10 +228,11 @@ check(
 )
 check(
     "cohort_change",
-    f"""SELECT c.fold, c.dimension, c.value, candidate, reference, {r('c.raw_mae - d.raw_mae')} AS delta_mae
-  FROM x_contrasts JOIN x_slices c ON c.model = candidate
-  JOIN x_slices d ON d.model = reference AND d.fold = c.fold AND d.dimension = c.dimension AND d.value = c.value
-  WHERE (c.dimension = 'zone_cohort' AND c.value = 'sparse') OR (c.dimension = 'target_cohort' AND c.value = 'zero')""",
+    f"""SELECT fold, dimension, value, candidate, reference,
+    {r('max(raw_mae) FILTER (model = candidate) - max(raw_mae) FILTER (model = reference)')} AS delta_mae
+  FROM x_contrasts JOIN x_slices ON model IN (candidate, reference)
+  WHERE (dimension = 'zone_cohort' AND value = 'sparse') OR (dimension = 'target_cohort' AND value = 'zero')
+  GROUP BY fold, dimension, value, candidate, reference""",
 )
 check(
     "select_champion",
@@ -300,7 +301,7 @@ cte(
     """SELECT block_days, replicate, fold, (number * block_days + step)::INTEGER AS position,
     ((('0x' || substr(md5(concat_ws(':', 42, block_days, fold, replicate, number)), 1, 13))::BIGINT % days + step) % days)::INTEGER AS day_index
   FROM (SELECT fold, (max(day_index) + 1)::INTEGER AS days FROM x_losses GROUP BY 1)
-  CROSS JOIN (SELECT unnest([2, 1, 4]) AS block_days) CROSS JOIN (SELECT unnest(range(200))::INTEGER AS replicate)
+  CROSS JOIN (SELECT unnest([2, 1, 4]) AS block_days) CROSS JOIN (SELECT unnest(range(10000))::INTEGER AS replicate)
   CROSS JOIN (SELECT unnest(range(4)) AS number) CROSS JOIN (SELECT unnest(range(4)) AS step)
   WHERE step < block_days AND number * block_days + step < days""",
 )

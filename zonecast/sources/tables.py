@@ -16,11 +16,26 @@ ZONE_SCHEMA = "LocationID INT, Borough STRING, Zone STRING, service_zone STRING"
 DAILY_SCHEMA = "fold STRING, date_nyc STRING, model STRING, rows BIGINT, mae DOUBLE"
 
 
-def read_trips(spark: SparkSession, *paths: str, month_pattern: str = r"(\d{4}-\d{2})") -> DataFrame:
-    """Monthly trip files as one table; ``file_month`` comes from the file name."""
+FOLDER_MONTH = r"/(?:file_)?month=(\d{4}-(?:0[1-9]|1[0-2]))(?:-\d{2})?/"
+NAMED_MONTH = r"(?:^|[^0-9])((?:19|20)\d{2}-(?:0[1-9]|1[0-2]))(?:[^0-9]|$)"
+
+
+def read_trips(spark: SparkSession, *paths: str, month_pattern: str | None = NAMED_MONTH) -> DataFrame:
+    """Monthly trip files as one table with ``file_month``.
+
+    The month stands in a ``month=`` folder or, delimited, in the file's own name; for the part files that Spark
+    writes, whose names hold other numbers, it stands in the name of their folder. A file without a month
+    is an error, because its rows could not be told from misfiled ones. With ``month_pattern`` None there is
+    no such column and no check.
+    """
     trips = spark.read.parquet(*paths)
-    name = F.col("_metadata.file_name")
-    return trips.withColumn("file_month", F.nullif(F.regexp_extract(name, month_pattern, 1), F.lit("")))
+    if month_pattern is None:
+        return trips
+    found = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    own = F.when(name.startswith("part-"), F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)).otherwise(name)
+    missing = F.raise_error(F.concat(F.lit("No month in the name of trip file "), path)).cast("string")
+    return trips.withColumn("file_month", F.coalesce(found(path, FOLDER_MONTH), found(own, month_pattern), missing))
 
 
 def trips_of_months(trips: DataFrame, start: str, end: str) -> DataFrame:
