@@ -14,7 +14,11 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & set(QUERIES)))
+# Up to 18 fits of 120 rounds each; test_study.py has the same contract with few rounds.
+LONG_FITS = {"boosted_model", "boosted_absolute", "depth_grid", "borough_models", "weather_models"}
+
+
+@pytest.mark.parametrize("name", sorted((set(entry.oracle_sql()) & set(QUERIES)) - LONG_FITS))
 def test_query_equals_sql(spark, duck, name):
     text, good, _ = compare(spark, duck, SF, name)
     assert good, text
@@ -24,16 +28,5 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_only_fitted_models_have_no_sql():
-    without = set(QUERIES) - set(entry.oracle_sql())
-    assert without == {
-        "linear_model",
-        "ridge_model",
-        "boosted_model",
-        "boosted_absolute",
-        "poisson_model",
-        "depth_grid",
-        "borough_models",
-        "weather_models",
-        "fitted_walk_forward",
-    }
+def test_every_query_has_sql():
+    assert set(QUERIES) <= set(entry.oracle_sql())

@@ -242,6 +242,57 @@ def test_boosting_contract(spark):
     assert abs(values - actual).mean() < abs(mean24 - actual).mean()
 
 
+def test_fits_of_all_folds_keep_their_contract(spark):
+    assigned = folds.assign_folds(temporal.drop_warmup(temporal.make_features(study_panel(spark))), FOLDS, 168, 0)
+    fits = {"linear": models.fit_linear, "poisson": models.fit_poisson, **models.depth_fits((2, 3), rounds=5)}
+    fits |= models.bundle_fits({"more": []}, rounds=3)
+    made = models.fit_report(assigned, models.fit_folds(assigned, FOLDS, fits)).collect()
+    assert {(r.model, r.fold) for r in made} == {(m, f.name) for m in fits for f in FOLDS}
+    for r in made:
+        mine = assigned.where(F.col("fold") == r.fold)
+        assert r.rows == mine.where("role = 'validation'").count() and r.train_rows == mine.where("role = 'train'").count()
+        assert (r.missing_keys, r.surplus_keys, r.bad_values, r.beats_mean) == (0, 0, 0, True)
+    lost = models.fit_folds(assigned, FOLDS[:1], {"linear": models.fit_linear}).where("zone_id = 2")
+    assert models.fit_report(assigned, lost).first().missing_keys == 48
+
+
+def many_zones(spark, zones=5000, rows=6):
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(zones * rows, 2))
+    zone = np.repeat(np.arange(zones), rows)
+    y = np.maximum(0, 40 + 3 * x[:, 0] - 2 * x[:, 1] + np.repeat(draw.normal(0, 5, zones), rows) + draw.normal(size=zones * rows))
+    table = [(int(z), START + timedelta(hours=i), float(d), float(a), float(b)) for i, (z, d, (a, b)) in enumerate(zip(zone, y, x))]
+    return spark.createDataFrame(table, "zone_id int, hour timestamp_ntz, demand double, lag_3 double, lag_24 double"), zone, x, y
+
+
+def test_five_thousand_zones_equal_the_closed_form(spark):
+    rows, zone, x, y = many_zones(spark)
+    z = (x - x.mean(0)) / x.std(0)
+    within = lambda v: v - (np.array([np.bincount(zone, c) for c in np.atleast_2d(v.T)]) / np.bincount(zone)).T[zone].reshape(v.shape)
+    slopes = np.linalg.lstsq(within(z), within(y), rcond=None)[0]
+    level = np.bincount(zone, y - z @ slopes) / np.bincount(zone)
+    values = lambda made: np.array([r.prediction for r in made.orderBy("hour").collect()])
+    features = ["lag_3", "lag_24"]
+    assert values(models.linear_model(rows, rows, features)) == pytest.approx(np.maximum(0, z @ slopes + level[zone]), abs=1e-6)
+    design = np.hstack([np.ones((len(y), 1)), z])
+    alpha = 10.0
+    # Ridge on one-hot zones: their block of the normal equations is diagonal.
+    n = np.bincount(zone) + alpha
+    cross = np.array([np.bincount(zone, c) for c in design.T]).T
+    left = design.T @ design - cross.T @ (cross / n[:, None]) + alpha * np.diag([0, 1, 1])
+    theta = np.linalg.solve(left, design.T @ y - cross.T @ (np.bincount(zone, y) / n))
+    effect = (np.bincount(zone, y) - cross @ theta) / n
+    assert values(models.ridge_model(rows, rows, features, alpha)) == pytest.approx(np.maximum(0, design @ theta + effect[zone]), abs=1e-6)
+
+
+def test_unseen_zone_gets_the_common_level(spark):
+    rows, zone, x, y = many_zones(spark, zones=40, rows=30)
+    train, unseen = rows.where("zone_id > 0"), rows.where("zone_id = 0")
+    for fit in (models.linear_model, models.ridge_model, models.poisson_model):
+        got = np.array([r.prediction for r in fit(train, unseen, ["lag_3", "lag_24"]).collect()])
+        assert len(got) == 30 and abs(got.mean() - y[zone > 0].mean()) < 8
+
+
 def test_next_hour_needs_a_week(spark):
     frame = panel(spark, 200).where((F.col("zone_id") == 2) | (F.col("hour") >= F.lit("2026-01-05 00:00:00").cast("timestamp_ntz")))
     scorer = lambda rows: rows.withColumn("prediction", F.col("lag_1") - 1000)

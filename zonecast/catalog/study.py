@@ -12,8 +12,6 @@ from zonecast.settings import BASELINES
 FOLDS = folds.study_folds(b.START, b.BOUNDARIES, b.SEALED)
 WARMUP, EMBARGO = 174, 6
 KEYS = ["zone_id", "hour", "demand"]
-# Fits on the small driver tables use fewer rounds than the default 120.
-QUERY_ROUNDS = 10
 
 
 def development(spark, sf):
@@ -137,62 +135,56 @@ def score_next_hour(spark, sf):
     return forecasts.score_next_hour(b.panel(spark, sf).select(*KEYS), scorer, DEV_STOP)
 
 
-def last_fold(spark, sf):
-    name = FOLDS[-1].name
-    rows = assigned(spark, sf).where(F.col("fold") == name)
-    return rows.where("role = 'train'"), rows.where("role = 'validation'")
+def report(rows, fits):
+    """What every fit must hold, on all folds."""
+    return models.fit_report(rows, models.fit_folds(rows, FOLDS, fits))
 
 
 @query
 def linear_model(spark, sf):
-    return models.linear_model(*last_fold(spark, sf))
+    return report(assigned(spark, sf), {"linear_regression": models.fit_linear})
 
 
 @query
 def ridge_model(spark, sf):
-    return models.ridge_model(*last_fold(spark, sf))
+    return report(assigned(spark, sf), {"ridge": models.fit_ridge})
 
 
 @query
 def boosted_model(spark, sf):
-    return models.boosted_model(*last_fold(spark, sf), rounds=QUERY_ROUNDS)
+    return report(assigned(spark, sf), {"boosted_squared": models.fit_boosted})
 
 
 @query
 def boosted_absolute(spark, sf):
-    return models.boosted_absolute(*last_fold(spark, sf), rounds=QUERY_ROUNDS)
+    return report(assigned(spark, sf), {"boosted_absolute": lambda train: models.fit_boosted(train, loss="absolute")})
 
 
 @query
 def poisson_model(spark, sf):
-    return models.poisson_model(*last_fold(spark, sf))
+    return report(assigned(spark, sf), {"poisson": models.fit_poisson})
 
 
 @query
 def depth_grid(spark, sf):
-    return models.depth_grid(*last_fold(spark, sf), rounds=QUERY_ROUNDS)
+    return report(assigned(spark, sf), models.depth_fits())
 
 
 @query
 def borough_models(spark, sf):
     rows = peers.make_peer_features(development(spark, sf), b.zones(spark, sf), b.REGIONS)
-    fold = FOLDS[-1]
     ready = temporal.drop_warmup(rows).dropna(subset=list(peers.PEER_LAGS))
-    mine = folds.assign_folds(ready, [fold], WARMUP, EMBARGO)
     static = list(peers.onehot_names(b.REGIONS).values())
-    return models.bundle_models(
-        mine.where("role = 'train'"),
-        mine.where("role = 'validation'"),
-        {"borough_static": static, "borough_context": [*static, *peers.PEER_LAGS]},
-        rounds=QUERY_ROUNDS,
-    )
+    bundles = {"borough_static": static, "borough_context": [*static, *peers.PEER_LAGS]}
+    return report(folds.assign_folds(ready, FOLDS, WARMUP, EMBARGO), models.bundle_fits(bundles))
 
 
 @query
 def fitted_walk_forward(spark, sf):
-    """All folds with two fitted models beside the baselines."""
+    """All folds with two fitted models beside the baselines: errors of a wide table that must be complete."""
     fitted = {"linear_regression": models.linear_model, "ridge": models.ridge_model}
     table = forecasts.walk_forward(
         development(spark, sf), FOLDS, fitted, WARMUP, EMBARGO, b.SPARSE_MAX
     )
-    return pooled_scores(table, [*BASELINES, *fitted])
+    scores = pooled_scores(table, [*BASELINES, *fitted])
+    return scores.select("model", F.col("mae").isNotNull().alias("scored"))

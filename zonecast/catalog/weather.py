@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from zonecast import bindings as b
 from zonecast.catalog.panel import DEV_START, DEV_STOP
 from zonecast.catalog.registry import query
-from zonecast.catalog.study import FOLDS, QUERY_ROUNDS, assigned
+from zonecast.catalog.study import assigned, report
 from zonecast.operators import contracts, models, weather
 from zonecast.sources.tables import project_station_rows
 from zonecast.settings import WEATHER_VALUES
@@ -195,12 +195,9 @@ def asof_any_target(spark, sf):
 
 @query
 def weather_models(spark, sf):
-    fold = FOLDS[-1]
-    rows = assigned(spark, sf).where(F.col("fold") == fold.name)
-    joined = weather.append_weather(rows, bundles(spark, sf, (3,)).drop("delay_hours"))
-    return models.bundle_models(
-        joined.where("role = 'train'"),
-        joined.where("role = 'validation'"),
-        {"weather_3h": FEATURES},
-        rounds=QUERY_ROUNDS,
-    )
+    """Temporal features with and without the bundle, for both delays, on all folds."""
+    parts = []
+    for delay in BUNDLE_DELAYS:
+        joined = weather.append_weather(assigned(spark, sf), bundles(spark, sf, (delay,)).drop("delay_hours"))
+        parts.append(report(joined, models.bundle_fits({f"temporal_{delay}h": [], f"weather_{delay}h": FEATURES})))
+    return parts[0].unionByName(parts[1])

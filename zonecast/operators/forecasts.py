@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from zonecast.functions.clock import hours, instant
 from zonecast.operators.contracts import table_fingerprint
 from zonecast.operators.folds import Fold, assign_folds, cohort_of, target_cohort, zone_keys, zone_means
+from zonecast.session import cut_lineage
 from zonecast.operators.temporal import (
     cyclic,
     delayed_features,
@@ -111,7 +112,7 @@ def walk_forward(
     table = baseline_table(made, folds, warmup_hours, embargo_hours, sparse_max)
     if not models:
         return table
-    assigned = assign_folds(drop_warmup(made), folds, warmup_hours, embargo_hours).persist()
+    assigned = cut_lineage(assign_folds(drop_warmup(made), folds, warmup_hours, embargo_hours))
     for name, fit in models.items():
         parts = []
         for fold in folds:

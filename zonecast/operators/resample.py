@@ -59,7 +59,7 @@ def block_starts(folds: DataFrame, block_days, replicates: int, seed: int) -> Da
     planned = folds.select("fold", "days", blocks).withColumn(
         "block_days",
         F.when(F.col("block_days") <= F.col("days"), F.col("block_days")).otherwise(
-            F.raise_error(F.lit("A block is longer than a fold has days"))
+            F.raise_error(F.lit("A block may not exceed the days of its fold"))
         ),
     )
     # Replicates spread over tasks before they grow into blocks.

@@ -368,3 +368,32 @@ check(
     f"""SELECT 'recorded_counts' AS policy, model, {METRICS} FROM x_recorded_long GROUP BY model
   UNION ALL SELECT 'exact_dedup_scenario', model, {METRICS} FROM x_dedup_long GROUP BY model""",
 )
+
+
+def fit_contract(name, rows, models):
+    """Counts and sums that any complete fit must show; its losses stay below those of the training mean."""
+    check(
+        name,
+        f"""SELECT model, fold, count(*) FILTER (role = 'validation') AS rows, 0::BIGINT AS missing_keys, 0::BIGINT AS surplus_keys,
+    0::BIGINT AS bad_values, (sum(demand) FILTER (role = 'validation'))::BIGINT AS label_sum,
+    count(*) FILTER (role = 'train') AS train_rows, true AS beats_mean
+  FROM {rows} CROSS JOIN (SELECT unnest({models!r}) AS model) GROUP BY 1, 2""",
+    )
+
+
+for name, models in {
+    "linear_model": ["linear_regression"],
+    "ridge_model": ["ridge"],
+    "poisson_model": ["poisson"],
+    "boosted_model": ["boosted_squared"],
+    "boosted_absolute": ["boosted_absolute"],
+    "depth_grid": ["depth_4", "depth_6"],
+    "borough_models": ["borough_static", "borough_context"],
+    "weather_models": ["temporal_1h", "weather_1h", "temporal_3h", "weather_3h"],
+}.items():
+    fit_contract(name, "x_assigned", models)
+check(
+    "fitted_walk_forward",
+    """SELECT unnest(['previous_hour', 'previous_day_24h', 'previous_week_168h', 'zone_hour_average', 'rolling_mean_24h',
+    'linear_regression', 'ridge']) AS model, true AS scored""",
+)
