@@ -76,6 +76,21 @@ def test_backtest_latency_uncertainty_report_export(spark, root, panel):
     assert spark.read.json(f"{root}/export/hours").count() == 24
 
 
+def test_jobs_find_a_zone_that_the_panel_lacks(spark, root, panel):
+    short = root / "short"
+    spark.read.parquet(f"{root}/prepared/zones").write.parquet(f"{short}/zones")
+    spark.read.parquet(panel).where("zone_id <> 4").write.partitionBy("month").parquet(f"{short}/panel")
+    lacking = f"{short}/panel"
+    with pytest.raises(ValueError):
+        study.backtest(spark, lacking, *ARGS, str(root / "short_study"))
+    with pytest.raises(ValueError):
+        study.report(spark, lacking, str(root / "study"), START, BOUNDARIES[0], BOUNDARIES[-1], "zone_hour_average", str(root / "short_report"))
+    spark.read.parquet(f"{root}/study/predictions").where("zone_id <> 4").write.parquet(str(root / "short_saved" / "predictions"))
+    window = (utc_midnight("2026-03-10"), utc_midnight("2026-03-11"))
+    with pytest.raises(ValueError):
+        study.export(spark, lacking, str(root / "short_saved"), "fold_2", *window, ["previous_hour"], str(root / "short_export"))
+
+
 def test_audit_tables(spark, root, panel):
     trips = sources.read_trips(spark, *[str(root / f"trips_{m}.parquet") for m in ("2026-02", "2026-03")])
     zones = sources.load_zones(sources.read_zones_csv(spark, str(root / "zones.csv")))

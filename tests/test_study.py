@@ -300,3 +300,7 @@ def test_next_hour_needs_a_week(spark):
     assert [(r.zone_id, r.predicted_pickups) for r in rows] == [(2, 0.0)]
     assert rows[0].target_hour_utc == START + timedelta(hours=200)
     assert forecasts.score_next_hour(frame, scorer, "2026-02-01 00:00:00").count() == 0
+    seen = panel(spark, 200).select("zone_id").where("zone_id = 2")
+    assert forecasts.score_next_hour(frame, scorer, trained_zones=seen).count() == 1
+    with pytest.raises(Exception, match="No training rows"):
+        forecasts.score_next_hour(frame, scorer, trained_zones=seen.where("zone_id = 3")).collect()

@@ -7,6 +7,8 @@ from frames import checks
 from zonecast.operators import contracts, weather
 from zonecast.settings import WEATHER_VALUES
 
+START = datetime(2026, 1, 1)
+
 T0 = datetime(2026, 1, 1, 6)
 OBS = "station_id string, observed_at timestamp_ntz, temperature_c double, dew_point_c double, wind_speed_m_s double"
 
@@ -172,3 +174,18 @@ def test_bundle_and_contract(spark):
     assert first.weather_a_temperature_c == 3.5 and first.weather_a_temperature_c_missing == 0
     assert first.weather_b_temperature_c is None and first.weather_b_temperature_c_missing == 1
     assert set(WEATHER_VALUES) == {"temperature_c", "dew_point_c", "wind_speed_m_s"}
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 7, 2184])
+def test_longest_missing_run_over_stretches(spark, stretch):
+    draw = [[(h * h + 3 * h + k) % (2 + k) == 0 for h in range(60)] for k in range(4)] + [[False] * 60, [True] * 60, [False] * 40 + [True] + [False] * 19]
+    rows = [(k, START + timedelta(hours=h), p) for k, own in enumerate(draw) for h, p in enumerate(own)]
+    frame = spark.createDataFrame(rows, "key int, hour timestamp_ntz, present boolean")
+    got = {r.key: r.longest_missing_hours for r in weather.longest_missing_run(frame, ["key"], stretch=stretch).collect()}
+    assert got == {k: max(len(run) for run in "".join("01"[p] for p in own).split("1")) for k, own in enumerate(draw)}
+
+
+def test_silent_station_is_all_missing(spark):
+    seen = spark.createDataFrame([("a", START, 1.0, 1.0, 1.0)], "station_id string, observed_at timestamp_ntz, temperature_c double, dew_point_c double, wind_speed_m_s double")
+    made = weather.asof_snapshot(seen, START, START + timedelta(hours=4), (0,), 6, ["a", "b"]).collect()
+    assert sum(r.station_id == "b" for r in made) == 4 and all(r.temperature_c is None for r in made if r.station_id == "b")

@@ -14,7 +14,8 @@ def exact_quantiles(
     Equal values are counted first, so a hot value is one row. A mergeable sketch of the distinct
     values gives bucket edges; bucket sizes locate the two order statistics each probability
     needs, and only the buckets holding them are ranked, one bucket per task. The sketch only
-    chooses how the work is split, the answer is exact.
+    chooses how the work is split, the answer is exact. Keys are few (names of features, or none), so what is
+    joined to the rows has at most keys x ``buckets`` rows and is sent to them.
     """
     # A constant key keeps the ungrouped case on the same path.
     keyed = frame.withColumn("_all", F.lit(0))
@@ -28,7 +29,7 @@ def exact_quantiles(
     edges = counted.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("_v", steps, F.lit(20 * buckets))).alias("_edges")
     )
-    placed = counted.join(edges, keys).withColumn(
+    placed = counted.join(F.broadcast(edges), keys).withColumn(
         "_bucket", F.size(F.filter("_edges", lambda e: e < F.col("_v")))
     ).drop("_edges")
     sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
@@ -61,13 +62,13 @@ def exact_quantiles(
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = placed.join(needed, [*keys, "_bucket"]).withColumn(
+    ranked = placed.join(F.broadcast(needed), [*keys, "_bucket"]).withColumn(
         "_to", F.col("_before") + F.sum("_n").over(in_bucket)
     ).withColumn("_from", F.col("_to") - F.col("_n"))
     wanted = wanted.select(*keys, "_bucket", "probability", "_at", "_low", "_high")
     holds = lambda rank: (F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_to"))
     picked = (
-        ranked.join(wanted, [*keys, "_bucket"])
+        ranked.join(F.broadcast(wanted), [*keys, "_bucket"])
         .where(holds("_low") | holds("_high"))
         .groupBy(*keys, "probability")
         .agg(

@@ -152,11 +152,14 @@ def delay_study(
     return rows.select("delay_hours", *KEYS, *COHORTS, "latest_available", *BASELINES[1:])
 
 
-def score_next_hour(panel: DataFrame, scorer, trained_until=None, minimum_hours: int = 168) -> DataFrame:
+def score_next_hour(
+    panel: DataFrame, scorer, trained_until=None, minimum_hours: int = 168, trained_zones: DataFrame | None = None
+) -> DataFrame:
     """Forecast of the next hour for every zone with enough history.
 
     ``scorer`` maps feature rows to rows with ``prediction``. Only the last ``minimum_hours``
-    rows of a zone can matter, so older history is cut before the windows.
+    rows of a zone can matter, so older history is cut before the windows. With ``trained_zones`` (``zone_id``)
+    a zone that was not in training is an error.
     """
     newest = panel.groupBy("zone_id").agg(F.max("hour").alias("_newest"))
     recent = (
@@ -168,6 +171,10 @@ def score_next_hour(panel: DataFrame, scorer, trained_until=None, minimum_hours:
     target = drop_warmup(featured.where(F.col("demand").isNull()))
     if trained_until is not None:
         target = target.where(F.col("hour") > instant(trained_until))
+    if trained_zones is not None:
+        known = trained_zones.select("zone_id", F.lit(True).alias("_trained")).distinct()
+        unseen = F.raise_error(F.concat(F.lit("No training rows for zone "), F.col("zone_id").cast("string"))).cast("boolean")
+        target = target.join(known, "zone_id", "left").where(F.coalesce(F.col("_trained"), unseen)).drop("_trained")
     return clip_predictions(scorer(target)).select(
         "zone_id",
         F.col("hour").alias("target_hour_utc"),

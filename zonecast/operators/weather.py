@@ -3,10 +3,11 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonecast.functions.clock import elapsed_hours, hour_floor, hours, instant, month_text, to_local
+from zonecast.functions.clock import elapsed_hours, hour_floor, hour_index, hours, instant, month_text, to_local
 from zonecast.functions.tables import count_true, long_models
 from zonecast.operators.contracts import duplicate_keys, stack, tally
 from zonecast.operators.panel import with_spine
+from zonecast.operators.temporal import STRETCH_HOURS
 from zonecast.settings import (
     AUDITED_FIELDS,
     DELAYS,
@@ -178,9 +179,16 @@ def quality_flag_counts(parsed: DataFrame, allow_unverified: bool = True) -> Dat
     )
 
 
-def target_grid(observations: DataFrame, start, stop, delays) -> DataFrame:
+def stations_of(observations: DataFrame, stations=None) -> DataFrame:
+    """The named stations, silent ones included, or else those that have observations."""
+    if stations is None:
+        return observations.select("station_id").distinct()
+    return observations.sparkSession.createDataFrame([(s,) for s in stations], "station_id string")
+
+
+def target_grid(observations: DataFrame, start, stop, delays, stations=None) -> DataFrame:
     """Every station at every UTC hour of ``[start, stop)`` and delay."""
-    stations = observations.select("station_id").distinct()
+    stations = stations_of(observations, stations)
     scenario = F.explode(F.array(*[F.lit(d) for d in delays])).alias("delay_hours")
     return with_spine(stations, start, stop, local=False).select("station_id", "hour", scenario)
 
@@ -202,7 +210,7 @@ def carried_columns(observations: DataFrame) -> list[str]:
     return [c for c in (*WEATHER_VALUES, *STATES) if c in observations.columns]
 
 
-def asof_snapshot(observations: DataFrame, start, stop, delays=DELAYS, max_age_hours: int = 6) -> DataFrame:
+def asof_snapshot(observations: DataFrame, start, stop, delays=DELAYS, max_age_hours: int = 6, stations=None) -> DataFrame:
     """Latest observation strictly before ``hour - delay`` and at most ``max_age_hours`` old.
 
     One row per station, hour and delay; without a match the values are NULL, and NULL values of
@@ -223,7 +231,7 @@ def asof_snapshot(observations: DataFrame, start, stop, delays=DELAYS, max_age_h
         for d in delays
         for ahead in range(1 + d, max_age_hours + 1)
     ]
-    grid = target_grid(observations, start, stop, delays)
+    grid = target_grid(observations, start, stop, delays, stations)
     if not offers:
         none = grid.withColumn("pick", F.lit(None).cast(last.schema["pick"].dataType))
         return snapshot_columns(none, carried)
@@ -300,15 +308,35 @@ def delay_scenarios(observations: DataFrame, start, stop, delays=DELAYS, max_age
     return snapshot_quality(asof_snapshot(observations, start, stop, delays, max_age_hours))
 
 
-def longest_missing_run(frame: DataFrame, keys: list[str], present: str = "present") -> DataFrame:
+def longest_missing_run(frame: DataFrame, keys: list[str], present: str = "present", stretch: int = STRETCH_HOURS) -> DataFrame:
     """Longest run of hours without ``present`` per key, edges included.
 
-    Missing hours between two present ones share the running count of present hours.
+    Missing hours between two present ones share the running count of present hours. Runs are counted per
+    (key, stretch of hours); only the run before a stretch's first present hour and the one after its last
+    can go on elsewhere, so a key as a whole is a window over its few stretches.
     """
-    upto = Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    island = frame.withColumn("_island", F.sum(F.col(present).cast("int")).over(upto))
-    runs = island.groupBy(*keys, "_island").agg(count_true(~F.col(present)).alias("run"))
-    return runs.groupBy(*keys).agg(F.max("run").alias("longest_missing_hours"))
+    parts = [*keys, "_stretch"]
+    upto = Window.partitionBy(*parts).orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
+    cut = frame.withColumn("_stretch", F.floor(hour_index(F.col("hour")) / stretch))
+    island = cut.withColumn("_island", F.sum(F.col(present).cast("int")).over(upto))
+    runs = island.groupBy(*parts, "_island").agg(count_true(~F.col(present)).alias("run"))
+    run_of = lambda at: F.max_by("run", at)
+    ends = runs.groupBy(*parts).agg(
+        F.max("_island").alias("_present"),
+        F.max("run").alias("_inner"),
+        F.coalesce(F.max(F.when(F.col("_island") == 0, F.col("run"))), F.lit(0)).alias("_lead"),
+        run_of("_island").alias("_trail"),
+    )
+    holds = F.col("_present") > 0
+    whole = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, 0)
+    group = F.sum(holds.cast("int")).over(whole)
+    entry = lambda at, run: F.struct(at.alias("_group"), run.alias("_run"))
+    open_ = F.when(holds, F.array(entry(F.col("_at") - 1, F.col("_lead")), entry(F.col("_at"), F.col("_trail")))).otherwise(
+        F.array(entry(F.col("_at"), F.col("_lead")))
+    )
+    joined = ends.withColumn("_at", group).select(*keys, "_inner", F.inline(open_))
+    sums = joined.groupBy(*keys, "_group").agg(F.sum("_run").alias("_run"), F.max("_inner").alias("_inner"))
+    return sums.groupBy(*keys).agg(F.greatest(F.max("_run"), F.max("_inner")).alias("longest_missing_hours"))
 
 
 def value_rows(observations: DataFrame) -> DataFrame:
@@ -324,7 +352,7 @@ def value_rows(observations: DataFrame) -> DataFrame:
     )
 
 
-def native_coverage(raw_bounded: DataFrame, observations: DataFrame, start, stop) -> DataFrame:
+def native_coverage(raw_bounded: DataFrame, observations: DataFrame, start, stop, stations=None) -> DataFrame:
     """Coverage per station and variable on the native observation hours."""
     keys = ["station_id", "variable"]
     ok = F.col("value").isNotNull()
@@ -337,7 +365,7 @@ def native_coverage(raw_bounded: DataFrame, observations: DataFrame, start, stop
         count_true(F.col("quality") == "unverified").alias("unverified"),
     )
     variables = F.explode(F.array(*[F.lit(v) for v in WEATHER_VALUES])).alias("variable")
-    expected = with_spine(observations.select("station_id").distinct(), start, stop, local=False).select(
+    expected = with_spine(stations_of(observations, stations), start, stop, local=False).select(
         "station_id", "hour", variables
     )
     spread = expected.withColumn("wanted", F.lit(1)).join(hourly, [*keys, "hour"], "full_outer")

@@ -19,7 +19,7 @@ from zonecast.sources import tables as sources
 def prepare(
     spark: SparkSession, trip_paths, zones_path: str, start: str, stop: str, out: str, boroughs=BOROUGHS
 ) -> None:
-    """Writes ``panel``, ``quality`` and ``summary`` under ``out``; bounds are local midnights.
+    """Writes ``zones``, ``panel``, ``quality`` and ``summary`` under ``out``; bounds are local midnights.
 
     The sparse counts are saved first: the checks, the panel and the report then read a small
     table instead of the raw trips again.
@@ -27,6 +27,7 @@ def prepare(
     lookup = sources.read_zones_csv(spark, zones_path)
     require(check_zones(lookup, boroughs))
     zones = sources.load_zones(lookup, boroughs)
+    sources.write_table(zones, f"{out}/zones")
     trips = sources.read_trips(spark, *trip_paths)
     check_trip_schema(trips)
     sources.write_table(steps.hourly_counts(trips, zones, start, stop), f"{out}/local_counts")

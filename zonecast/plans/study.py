@@ -30,8 +30,9 @@ def development_panel(spark: SparkSession, path: str, train_start: str, sealed:
     return sources.read_window(spark, path, utc_midnight(train_start), utc_midnight(sealed))
 
 
-def zones_of(panel: DataFrame) -> DataFrame:
-    return panel.select("zone_id", "borough", "Zone").distinct()
+def saved_zones(spark: SparkSession, panel_path: str) -> DataFrame:
+    """The lookup that was saved beside the panel: a zone that the panel lacks altogether is in it."""
+    return spark.read.parquet(f"{panel_path.rstrip('/').rpartition('/')[0]}/zones")
 
 
 def backtest(
@@ -50,7 +51,7 @@ def backtest(
     """Walk-forward predictions and their pooled, fold, slice and daily score tables."""
     folds = study_folds(train_start, boundaries, sealed)
     panel = development_panel(spark, panel_path, train_start, sealed)
-    zones = zones_of(panel)
+    zones = saved_zones(spark, panel_path)
     require(
         stack(
             check_panel(panel, id_range),
@@ -59,6 +60,7 @@ def backtest(
     )
     table = walk_forward(panel, folds, models, warmup_hours, embargo_hours, sparse_max)
     sources.write_table(table, f"{out}/predictions")
+    sources.write_table(zones, f"{out}/zones")
     saved = spark.read.parquet(f"{out}/predictions")
     names = [*BASELINES, *(models or {})]
     grid = panel.where(F.col("hour") >= F.lit(str(folds[0].validation_start)).cast("timestamp_ntz"))
@@ -107,9 +109,7 @@ def uncertainty(
     """Intervals from the saved daily errors of a backtest, after they reconcile."""
     folds = study_folds(train_start, boundaries, sealed)
     daily, pooled, by_fold = (spark.read.parquet(f"{study}/{n}") for n in ("daily", "pooled", "folds"))
-    weights = resample.day_weights(
-        spark.read.parquet(f"{study}/predictions").select("zone_id").distinct(), folds
-    )
+    weights = resample.day_weights(spark.read.parquet(f"{study}/zones"), folds)
     names = [r["model"] for r in pooled.select("model").collect()]
     resample.check_contrasts(contrasts, names)
     require(check_daily_errors(daily, weights, by_fold, pooled, names))
@@ -130,7 +130,7 @@ def report(spark: SparkSession, panel_path: str, study: str, train_start: str, f
     banded = reports.demand_bands(saved, train)
     dimensions = [d for d in reports.REPORT_DIMENSIONS if d in banded.columns]
     zone_map = reports.zone_map_table(panel, saved, model)
-    require(reports.check_zone_map(zone_map, zones_of(panel)))
+    require(reports.check_zone_map(zone_map, saved_zones(spark, panel_path)))
     for name, frame in {
         "daily_totals": reports.daily_totals(panel),
         "hourly_profile": reports.hourly_profile(panel),
@@ -144,10 +144,10 @@ def report(spark: SparkSession, panel_path: str, study: str, train_start: str, f
 def export(spark: SparkSession, panel_path: str, study: str, fold: str, start, stop, models, out: str) -> None:
     """The nested explorer export, its borough summary and the quoted CSV of a window."""
     saved = explorer.demo_window(spark.read.parquet(f"{study}/predictions"), start, stop, fold)
-    names = spark.read.parquet(panel_path).select("zone_id", "Zone").distinct()
-    rows = saved.join(names, "zone_id", "left")
+    zones = saved_zones(spark, panel_path)
+    rows = saved.join(zones.select("zone_id", "Zone"), "zone_id", "left")
     nested = sources.export_nested(rows, ["demand", *models])
-    require(check_export(nested, rows.select("zone_id").distinct(), 1 + len(models)))
+    require(check_export(nested, zones.select("zone_id"), 1 + len(models)))
     nested.write.mode("errorifexists").json(f"{out}/hours")
     summary = explorer.borough_summary(rows, {f"{m}_mae": m for m in models})
     sources.write_report_table(summary, f"{out}/boroughs")
