@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from test_weather import raw
 from zonecast.operators.folds import utc_midnight
-from zonecast.plans import quality, study, weather
+from zonecast.operators import models
+from zonecast.plans import fitted, quality, study, weather
 from zonecast.plans.prepare import prepare
 from zonecast.sources import tables as sources
 
@@ -91,6 +92,27 @@ def test_jobs_find_a_zone_that_the_panel_lacks(spark, root, panel):
         study.export(spark, lacking, str(root / "short_saved"), "fold_2", *window, ["previous_hour"], str(root / "short_export"))
 
 
+def test_fitted_studies(spark, root, panel):
+    features, out = str(root / "features"), str(root / "fitted")
+    fitted.save_features(spark, panel, START, BOUNDARIES[-1], features, boroughs=("Queens", "Bronx"))
+    fits = {"ridge": models.fit_ridge, **models.bundle_fits({"borough_context": ["borough_other_mean_lag_1"]}, rounds=2)}
+    fitted.fitted_study(spark, features, *ARGS, fits, out, contrasts=[("ridge", "previous_week_168h")], parameters={"rounds": 2})
+    record = spark.read.json(f"{out}/record").first()
+    assert record.champion is not None and '"rounds": 2' in record.parameters and "fold_1" in record.training_rows
+    assert spark.read.parquet(f"{out}/predictions").where("ridge IS NULL OR borough_context IS NULL").count() == 0
+    fitted.fitted_study(spark, features, *ARGS, {"linear": models.fit_linear}, str(root / "second"), control=out)
+    with pytest.raises(ValueError):
+        fitted.fitted_study(spark, features, *ARGS, {"linear": models.fit_linear}, str(root / "third"), control=out, embargo_hours=3)
+
+
+def test_fitted_delays(spark, root, panel):
+    features, out = str(root / "delayed"), str(root / "delays")
+    fitted.save_delayed_features(spark, panel, START, BOUNDARIES[-1], features, (0, 3))
+    fitted.delay_study(spark, features, *ARGS, {"ridge": models.fit_ridge}, out, (0, 3))
+    effects = spark.read.csv(f"{out}/effects_ridge", header=True, inferSchema=True)
+    assert effects.where("delay_hours = 3").count() > 0 and effects.where("delay_hours = 0 AND mae_change <> 0").count() == 0
+
+
 def test_audit_tables(spark, root, panel):
     trips = sources.read_trips(spark, *[str(root / f"trips_{m}.parquet") for m in ("2026-02", "2026-03")])
     zones = sources.load_zones(sources.read_zones_csv(spark, str(root / "zones.csv")))
