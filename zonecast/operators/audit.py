@@ -39,6 +39,14 @@ def duplicate_rollup(duplicates: DataFrame, zone: str = ZONE, pickup: str = PICK
     return resolved(local)
 
 
+def trip_cells(trips: DataFrame, zone: str = ZONE, vendor: str = "VendorID", pickup: str = PICKUP) -> DataFrame:
+    """Trips per zone, local hour and vendor: what all counts of the audit are sums of."""
+    name = F.coalesce(F.col(vendor).cast("string"), F.lit("missing"))
+    return trips.groupBy(
+        F.col(zone).cast("int").alias("zone_id"), hour_floor(F.col(pickup)).alias("hour"), name.alias("vendor")
+    ).agg(F.count(F.lit(1)).alias("demand"))
+
+
 def vendor_counts(trips: DataFrame, vendor: str = "VendorID", pickup: str = PICKUP) -> DataFrame:
     """Eligible trips per vendor and UTC hour; a missing vendor is its own series."""
     name = F.coalesce(F.col(vendor).cast("string"), F.lit("missing"))

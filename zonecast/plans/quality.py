@@ -9,6 +9,7 @@ from zonecast.operators.folds import Fold, utc_midnight
 from zonecast.operators.forecasts import baseline_table
 from zonecast.operators.scores import pooled_scores
 from zonecast.operators.temporal import make_features
+from zonecast.session import cut_lineage
 from zonecast.settings import BASELINES
 from zonecast.sources.tables import window_of
 
@@ -29,9 +30,14 @@ def label_sensitivity(
 
 
 def audit_tables(trips: DataFrame, zones: DataFrame, start: str, sealed: str, **rule) -> dict[str, DataFrame]:
-    """All audit tables of a development window, after the contracts hold."""
+    """All audit tables of a development window, after the contracts hold.
+
+    Raw trips are read twice: for counts per zone, hour and vendor, and for duplicates. Both are cut from their
+    lineage, so that every check and table starts from them.
+    """
     kept = panel.eligible_trips(trips, zones, start, sealed)
-    counts = panel.utc_counts(panel.hourly_counts(trips, zones, start, sealed))
+    cells = cut_lineage(audit.trip_cells(kept))
+    counts = panel.utc_counts(cells.groupBy("zone_id", "hour").agg(F.sum("demand").alias("demand")))
     labels = panel.attach_zone(panel.densify(counts, zones, start, sealed), zones)
     require(
         stack(
@@ -39,9 +45,9 @@ def audit_tables(trips: DataFrame, zones: DataFrame, start: str, sealed: str, **
             check_conservation(counts, labels),
         )
     )
-    repeated = audit.duplicate_rollup(audit.exact_duplicates(kept))
+    repeated = cut_lineage(audit.duplicate_rollup(audit.exact_duplicates(kept)))
     city = audit.city_totals(labels)
-    vendors = audit.vendor_counts(kept)
+    vendors = audit.resolved(cells.groupBy("vendor", "hour").agg(F.sum("demand").alias("demand")))
     require(check_conservation(vendors, city))
     series = audit.series_grid(vendors, city, start, sealed)
     require(check_volume_series(series))
