@@ -45,3 +45,16 @@ def test_nodes_areas_and_identity(spark):
     assert nodes[25].neighbor_count == 0
     row = adjacency.geometry_identity(frame, zones).first()
     assert (row.unique_zone_ids, row.missing_ids, row.one_to_one) == (25, 1, False)
+
+
+def test_a_diagonal_takes_only_the_cells_that_it_crosses(spark):
+    rows = [(1, 0, 0, 0.0, 0.0, 1000.0, 1000.5), (2, 0, 0, 0.0, 900.0, 1000.0, 0.0), (3, 0, 0, 5.5, 0.0, 5.5, 40.0), (4, 0, 0, 0.0, 7.0, 60.0, 7.0)]
+    segments = spark.createDataFrame(rows, "zone_id int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
+    made = adjacency.in_cells(segments, 1.0, 0.01)
+    counts = {r.zone_id: r["count"] for r in made.groupBy("zone_id").count().collect()}
+    assert counts[1] < 4000 and counts[2] < 4000 and counts[3] < 90 and counts[4] < 130
+    held = {(r.zone_id, r.cx, r.cy) for r in made.collect()}
+    for zone, _, _, x1, y1, x2, y2 in rows:
+        for i in range(5001):
+            t = i / 5000
+            assert (zone, int((x1 + t * (x2 - x1)) // 1), int((y1 + t * (y2 - y1)) // 1)) in held
