@@ -30,11 +30,12 @@ ROWS = 4
 BASE = 1.001
 RATE = 20.0
 LARGEST = (1 << 16) - 2
-UNLIKELY = 30.0
+UNLIKELY = 12.0
+FINE_REGISTERS = 512
 SALT_ROWS = 512
 TILE = 2048
-BEST = 3
-MULTIPLIERS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+BEST = 2
+MULTIPLIERS = mixed(np.arange(1, FINE_REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes | None], width: int = SHINGLE) -> list[np.ndarray]:
@@ -50,13 +51,13 @@ def shingle_sets(texts: list[bytes | None], width: int = SHINGLE) -> list[np.nda
     return out
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """(set, register) values of non-empty sets."""
+def registers(sets: list[np.ndarray], count: int = REGISTERS) -> np.ndarray:
+    """(set, register) values of non-empty sets. More registers begin with the same ones."""
     joined = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    low = np.empty((REGISTERS, len(sets)), dtype=np.uint64)
+    low = np.empty((count, len(sets)), dtype=np.uint64)
     h, t = np.empty_like(joined), np.empty_like(joined)
-    for i, multiplier in enumerate(MULTIPLIERS):
+    for i, multiplier in enumerate(MULTIPLIERS[:count]):
         np.multiply(joined, multiplier, out=h)
         np.right_shift(h, np.uint64(32), out=t)
         np.bitwise_xor(h, t, out=h)
@@ -100,7 +101,7 @@ def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, per
     """Pairs of register rows that may reach the similarity: by set sizes exactly, by likelihood else."""
     sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     higher, lower = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    return sizes & (log_ratio(higher, lower, REGISTERS - higher - lower, n_a, n_b, percent / 100) <= UNLIKELY)
+    return sizes & (log_ratio(higher, lower, a.shape[1] - higher - lower, n_a, n_b, percent / 100) <= UNLIKELY)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -192,17 +193,35 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return lined.mapInArrow(compared, "a long, b long")
 
 
-def open_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, percent: int, best: int | None) -> DataFrame:
+def finer(texts: DataFrame) -> DataFrame:
+    """``rep, n_shingles, registers`` with ``FINE_REGISTERS`` of each class that shares a band."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1).cast(pa.binary()).to_pylist()
+            for begin, end in together(held):
+                sets = shingle_sets(held[begin:end])
+                values = registers(sets, FINE_REGISTERS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(begin, end - begin), pa.array([len(s) for s in sets], pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())],
+                    names=["rep", "n_shingles", "registers"],
+                )
+
+    return texts.select("rep", "text").mapInArrow(rows, "rep long, n_shingles long, registers binary")
+
+
+def open_pairs(shared: DataFrame, fine: DataFrame, found: DataFrame, percent: int, best: int | None) -> DataFrame:
     """Pairs of one band and different components that may still be alike.
 
-    A band's classes are dealt into tiles of ``TILE``; a task holds two tiles. Of the pairs of a class with
-    another component, the ``best`` likeliest of a task are given, or all of them.
+    A band's classes are dealt into tiles of ``TILE``; a task holds two tiles. A pair belongs to the first of the bands
+    that it shares and is given there alone. Of the pairs of a class with another component, the ``best``
+    likeliest of a task are given, or all of them.
     """
     named = found.select(F.col("id").alias("rep"), "component")
     known = shared.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     torn = known.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n")).where("_low < _high")
     tiles = torn.select("band", F.ceil(F.col("_n") / F.lit(TILE)).cast("int").alias("_tiles"))
-    held = known.join(tiles, "band").join(classes.select("rep", "n_shingles", "registers"), "rep")
+    held = known.join(tiles, "band").join(fine, "rep")
     held = held.withColumn("_tile", F.pmod(F.xxhash64("rep"), F.col("_tiles")).cast("int"))
     met = held.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     met = met.select("band", F.least("_tile", "_with").alias("i"), F.greatest("_tile", "_with").alias("j"), "_tile", "rep", "component", "n_shingles", "registers")
@@ -210,17 +229,21 @@ def open_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, percent:
     def pair(key: tuple, rows: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         rep, component, n, tile = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "_tile"))
-        values = np.frombuffer(b"".join(rows["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS)
+        values = np.frombuffer(b"".join(rows["registers"].to_pylist()), "<u2").reshape(-1, FINE_REGISTERS)
+        own = bands(values[:, :REGISTERS])
+        earlier = own[:, : int(np.flatnonzero(own[0].view(np.int64) == key[0].as_py())[0])]
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         a_out, b_out = [], []
         for at in left.tolist():
             other = right[(component[right] != component[at]) & ((i != j) | (rep[right] > rep[at]))]
             other = other[100 * np.minimum(n[other], n[at]) >= percent * np.maximum(n[other], n[at])]
+            other = other[~(earlier[other] == earlier[at]).any(axis=1)]
             if not len(other):
                 continue
             equal = (values[other] == values[at]).sum(axis=1)
-            other, equal = other[equal >= 0.4 * REGISTERS * percent / 100], equal[equal >= 0.4 * REGISTERS * percent / 100]
-            good = possible(np.broadcast_to(values[at], (len(other), REGISTERS)), values[other], np.full(len(other), n[at]), n[other], percent)
+            good = equal >= FINE_REGISTERS * percent / 250
+            other, equal = other[good], equal[good]
+            good = possible(np.broadcast_to(values[at], (len(other), FINE_REGISTERS)), values[other], np.full(len(other), n[at]), n[other], percent)
             other, equal = other[good], equal[good]
             if best is not None and len(other) > best:
                 order = np.lexsort((-equal, component[other]))
@@ -232,7 +255,7 @@ def open_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, percent:
         a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a_out, b_out))
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return met.groupBy("band", "i", "j").applyInArrow(pair, "a long, b long").distinct()
+    return met.groupBy("band", "i", "j").applyInArrow(pair, "a long, b long")
 
 
 def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -255,13 +278,15 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     stars = shared.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     met = saved(shared.select(F.col("rep")).distinct(), "shared-classes")
     texts = saved(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(met, "rep"), "shared-texts")
-    links = saved(verified(likely(stars, classes, percent), texts, percent), "near-links")
+    tested = saved(likely(stars, classes, percent), "star-pairs")
+    links = saved(verified(tested, texts, percent), "near-links")
     found = components(links)
+    fine = saved(finer(texts), "fine-registers")
     for best in (BEST, None):
-        more = saved(open_pairs(shared, classes, found, percent, best), "open-pairs")
+        more = saved(open_pairs(shared, fine, found, percent, best).join(tested, ["a", "b"], "left_anti"), "open-pairs")
         if more.isEmpty():
             break
-        links = links.union(saved(verified(more, texts, percent), "near-links"))
+        tested, links = tested.union(more), links.union(saved(verified(more, texts, percent), "near-links"))
         found = components(links)
     named = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("id"), "left")
     named = named.select("set_key", F.coalesce("component", "rep").alias("_component"))
