@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonecast.llm.tokens import release
+
 FIT_ROWS = 16_000
 LANDMARKS = 192
 LANDMARK_CHARS = (40, 4000)
@@ -125,6 +127,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARK
     width = len(texts) + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = shared.value
         place = {lang: i for i, lang in enumerate(known.languages)}
         moments, targets, n = np.zeros((width, width)), np.zeros((width, len(place))), 0
@@ -154,6 +157,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -179,6 +183,7 @@ def in_known_language(docs: DataFrame, model: Model | None, least: float) -> Dat
     at = docs.columns.index("text")
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = shared.value
         for batch in batches:
             texts = batch.column(at).to_pylist()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonecast.llm.store import blocks_for
+from zonecast.llm.tokens import release
 from zonecast.llm.words import mixed, runs, together, words_of
 
 PHRASE = 13
@@ -198,11 +199,13 @@ def drop_repeats(docs: DataFrame, phrase: int = PHRASE, block_bytes: int = BLOCK
     table = docs.select(*[F.col(c).cast("long") if c == "doc_id" else F.col(c) for c in kept], block.alias("_block"))
 
     def anchors(key: tuple, own: pa.Table) -> pa.Table:
+        release()
         _, found, ids = windows_of(own, phrase, True)
         keys, low, high, _ = extremes(found, ids, ids)
         return dealt(key[0].as_py(), blocks, keys, keys, low, high)
 
     def confirmed(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
         known, values = reply_of(replies)
         if not len(known):
             return dealt(0, blocks, known, known, values, values)
@@ -215,6 +218,7 @@ def drop_repeats(docs: DataFrame, phrase: int = PHRASE, block_bytes: int = BLOCK
         return dealt(key[0].as_py(), blocks, by, keys, low, high)
 
     def cleaned(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
         known, values = reply_of(replies)
         ids = own["doc_id"].to_pylist()
         texts = own["text"].cast(pa.binary()).to_pylist()

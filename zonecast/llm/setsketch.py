@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from zonecast.llm.links import components
 from zonecast.llm.store import saved
+from zonecast.llm.tokens import release
 from zonecast.llm.words import mixed, runs, together, words_of
 
 SHINGLE = 5
@@ -108,6 +109,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_key, registers`` of whole texts; the last two are null for empty sets."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for begin, end in together(texts):
@@ -173,6 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         head, key = np.empty(0, np.uint64), None
         for batch in batches:
             b, a, salt = (batch.column(c).to_pylist() for c in ("b", "a", "salt"))
@@ -227,6 +230,7 @@ def open_pairs(shared: DataFrame, fine: DataFrame, found: DataFrame, percent: in
     met = met.select("band", F.least("_tile", "_with").alias("i"), F.greatest("_tile", "_with").alias("j"), "_tile", "rep", "component", "n_shingles", "registers")
 
     def pair(key: tuple, rows: pa.Table) -> pa.Table:
+        release()
         i, j = key[1].as_py(), key[2].as_py()
         rep, component, n, tile = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "_tile"))
         values = np.frombuffer(b"".join(rows["registers"].to_pylist()), "<u2").reshape(-1, FINE_REGISTERS)

@@ -22,6 +22,13 @@ def opened(path: str) -> "WordIds":
     return _opened[path]
 
 
+def release() -> None:
+    """Let go of all kept parts. Workers outlive stages, so tasks that need memory for other things call this."""
+    for kept in _opened.values():
+        kept.known.clear()
+        kept.cores.clear()
+
+
 class WordIds:
     """``parts`` and ``pieces`` bound the two caches; a full cache starts anew, ids stay the same."""
 
