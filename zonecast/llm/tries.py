@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-KNOWN = 300_000
+KNOWN = 1_000_000
 SPACE = "▁"
 
 
