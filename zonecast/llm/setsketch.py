@@ -32,7 +32,7 @@ BASE = 1.001
 RATE = 20.0
 LARGEST = (1 << 16) - 2
 UNLIKELY = 12.0
-FINE_REGISTERS = 512
+FINE_REGISTERS = 1024
 SALT_ROWS = 512
 TILE = 2048
 BEST = 2
