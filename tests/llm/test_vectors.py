@@ -110,6 +110,31 @@ def test_top_k_equals_brute_force(vectors, monkeypatch, bucket):
     assert got == want
 
 
+@pytest.mark.parametrize("dim", [2, 3, 16])
+def test_top_k_of_axis_heavy_vectors(monkeypatch, dim):
+    monkeypatch.setattr(retrieval, "BUCKET_ROWS", 8)
+    rng = np.random.default_rng(dim)
+    made = np.floor(rng.standard_normal((600, dim)) * 12)
+    made[np.arange(600), rng.integers(0, dim, 600)] += rng.choice([-100.0, 100.0, 0.0], 600)
+    made = np.concatenate([made, 100 * np.eye(dim), -100 * np.eye(dim), np.full((1, dim), 31.0)])
+    made[-1, 0] = 95.0
+    ids = np.arange(len(made))
+    order = np.lexsort((ids, -(made * made).sum(axis=1)))
+    exact = (made @ made.T).astype(np.int64)
+    best = retrieval.Best(ids, 5, np.full(len(ids), -float(1 << 62)))
+    retrieval.search(made, best, made[order], ids[order])
+    for i in ids:
+        near = sorted((-exact[i, j], j) for j in ids if j != i)[:5]
+        assert list(zip(best.scores[i], best.found[i], strict=True)) == [(-score, j) for score, j in near]
+
+
+def test_axis_within_the_threshold_is_a_candidate():
+    q, c = np.array([[95.0, 31.0]]), np.array([[100.0, 0.0]])
+    best = retrieval.Best(np.array([1]), 1, np.array([0.91 * np.sqrt(95**2 + 31**2) * 100]))
+    retrieval.search(q, best, c, np.array([2]))
+    assert best.found[0].tolist() == [2]
+
+
 def test_top_k_of_few_or_no_rows(vectors):
     none = retrieval.quantized(vectors([]))
     assert retrieval.top_k(none, none).count() == 0

@@ -80,12 +80,14 @@ def search(q: np.ndarray, best: Best, c: np.ndarray, ids: np.ndarray) -> None:
         cosine = best.floor / bound
         narrow = (cosine > BY_COORDINATE) & (cosine <= 1 + 1e-9)
         for i in np.flatnonzero(narrow):
-            # A unit vector at this cosine or above has its focus coordinate in a band around the query's.
+            # A unit vector at this cosine or above has its focus coordinate in a band around the query's. Where the
+            # query is nearer to the axis than that, the axis itself is near enough and the band reaches its end.
             t, axis = min(1.0, cosine[i]), int(np.abs(q[i]).argmax())
             x, slack = q[i, axis] / own[i], 1e-9
             half = np.sqrt(max(0.0, (1 - t * t) * (1 - x * x))) + slack
             y = some[:, axis] / np.maximum(some_lengths, 1e-9)
-            near = np.flatnonzero((y >= x * t - half) & (y <= x * t + half) if abs(x) < 1 else np.ones(len(y), bool))
+            low, high = -np.inf if -x > t else x * t - half, np.inf if x > t else x * t + half
+            near = np.flatnonzero((y >= low) & (y <= high) if abs(x) < 1 else np.ones(len(y), bool))
             near = near[some_lengths[near] * own[i] >= best.floor[i] - 1e-6]
             if len(near):
                 best.add(i, products(q[i : i + 1], some[near])[0], some_ids[near])
