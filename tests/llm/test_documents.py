@@ -224,6 +224,18 @@ def test_word_cache_gives_the_tokenizers_ids(tokenizer, odd_texts):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_long_parts_share_their_core(tokenizer):
+    from zonecast.llm.tokens import WordIds
+
+    names = ["introduction", "methods", "results", "discussion", "wow", "a" * 60]
+    texts = [f"{n}{'.' * 50} {n} {n}, {n.upper()} {n.title()}! {n}{'!' * 60}" for n in names]
+    fresh = WordIds(WORD_BPE)
+    for _ in range(2):
+        for text, ids in zip(texts, fresh.ids_of(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert all(len(part) <= fresh.longest for part in fresh.known) and not {"introduction", "a" * 60} & set(fresh.cores)
+
+
 # --- token counts ---------------------------------------------------------------------------------
 
 

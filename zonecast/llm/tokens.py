@@ -67,6 +67,8 @@ class WordIds:
         self._encode({piece for pieces in split.values() for piece in pieces if piece not in cores})
         for part, pieces in split.items():
             self.known[part] = cores[pieces[0]] if len(pieces) == 1 else cores[pieces[0]] + cores[pieces[1]]
+        # Other parts may share the core of a long one, so cores go only when all parts have theirs.
+        for part, pieces in split.items():
             if len(part) > self.longest:
                 cores.pop(pieces[0], None)
 
