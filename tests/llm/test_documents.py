@@ -264,6 +264,22 @@ def test_trie_counts_equal_a_plain_viterbi(frame, odd_texts):
     assert tries.token_counts(frame([]), PIECE_BPE).count() == 0
 
 
+def test_merge_counts_equal_the_library(frame, odd_texts):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    rng = random.Random(10)
+    letters = ["ab ", "aeinorst \n", "th e\n\t", "▁ a.", "(){}=; \n", "é你 \U0001f600ñx", "0123456789 ,.", " \u3000\xa0\x1c\r\nab", "<0x0A> s/"]
+    texts = odd_texts + [" ", "\n", "a  b", "international " * 5, " " * 300 + "\n\n  x" + " " * 40]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for some in letters for _ in range(100)]
+    for known in (30, 1_000_000):
+        got = {r["doc_id"]: r for r in tries.merge_counts(frame(texts), PIECE_BPE, known=known).collect()}
+        for i, text in enumerate(texts):
+            assert got[i]["n_words"] == len((text or "").split())
+            assert got[i]["n_tokens"] == (len(library.encode(text)) if text else 0), text[:60]
+    assert tries.merge_counts(frame([]), PIECE_BPE).count() == 0
+
+
 # --- packing --------------------------------------------------------------------------------------
 
 

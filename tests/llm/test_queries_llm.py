@@ -33,6 +33,16 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
 
 
+def test_token_counts_are_those_of_the_library(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op5_trie_counts"](spark, SF).collect()}
+    assert got == {i: len(library.encode(text)) if text else 0 for i, text in texts.items()}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()

@@ -42,7 +42,7 @@ def op4_addressable_codes(spark, sf_dir):
 
 
 def op5_trie_counts(spark, sf_dir):
-    return tries.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    return tries.merge_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
 def op6_collision_counting(spark, sf_dir):
