@@ -349,6 +349,21 @@ def test_mix_is_exact_and_repeats(frame, odd_texts):
     assert mixing.mix(frame([])).count() == 0
 
 
+def test_mix_takes_rows_of_null_and_repeated_ids(frame):
+    rng = random.Random(13)
+    texts = [prose(rng, rng.randint(1, 40)) for _ in range(200)] + ["three like rows"] * 3
+    ids = [None if i % 4 == 0 else i % 50 for i in range(200)] + [1000] * 3
+    sources = [f"s{i % 3}" for i in range(len(texts))]
+    docs = frame(texts, ids=ids, sources=sources)
+    budget = {r["source"]: int(r["target"] + 0.5) for r in mixing.mix(docs).collect()}
+    taken, copies = collections.Counter(), collections.Counter()
+    for r in mixing.mixed(docs).collect():
+        taken[r["source"]] += len(words(r["text"]))
+        copies[r["source"], r["doc_id"], r["text"]] += 1
+    assert taken == budget
+    assert max(copies.values()) <= 3 * 3 and any(i is None for _, i, _ in copies)
+
+
 # --- near documents -------------------------------------------------------------------------------
 
 

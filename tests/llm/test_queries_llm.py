@@ -54,6 +54,16 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    one, two, three = (" ".join(f"{name}{i}" for i in range(40)) for name in ("a", "b", "c"))
+    rows = [(1, one), (5, one), (5, one), (5, two), (7, two), (7, two), (9, three), (9, three), (9, three + " more"), (None, one), (None, three), (8, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(corpus_pipeline.drop_near_copies(spark, docs, SF).collect(), key=str)
+    assert [r for r in kept if r["text"] and r["doc_id"] in (1, 5, 7)] == [(1, one), (5, two)]
+    assert [r["doc_id"] for r in kept if r["doc_id"] == 9] == [9]
+    assert [r["text"] for r in kept if r["doc_id"] is None] == [one, three] and len(kept) == 7
+
+
 def test_pipeline_of_no_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -47,9 +47,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
 
     The driver sees one row per source and one number per (partition, source).
     """
+    return decided(docs, (), weights, most, seed)
+
+
+def decided(docs: DataFrame, row: tuple[str, ...], weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
+    """``mix`` with the columns ``row``, which come last in the order of a source's rows, in front."""
     spark = docs.sparkSession
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
-    sized = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key")), "mix-sizes")
+    sized = saved(docs.select(*row, "doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key")), "mix-sizes")
     found = [(r["source"], r["size"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()]
     wanted = targets(found, weights, most)
     order = sorted(found, key=lambda s: (s[0] is None, s[0] or ""))
@@ -58,32 +63,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
         "_s int, _name string, source_size long, target double",
     )
     known = sized.join(sources, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    line = ("_s", "_key", "doc_id", "size")
+    line = ("_s", "_key", "doc_id", "size", *row)
     ranged = saved(known.repartitionByRange(*line).withColumn("_part", F.spark_partition_id()), "mix-ranges")
     totals = ranged.groupBy("_part", "_s").agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("_part", "_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_part", "_s").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_part", "_s").orderBy("_key", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0))
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     return ranged.join(base, ["_part", "_s"]).select(
-        "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken")
+        *row, "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken")
     )
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a document taken twice is two rows, one not taken is gone.
 
-    A document whose words are taken in part ends at its last word taken. Ids must be unique here, as
-    the decisions meet their rows by id.
+    A document whose words are taken in part ends at its last word taken. Decisions meet their rows by a key of the row that
+    is made once in a written table, so rows without an id and rows that share one are taken like all others.
     """
-    taken = mix(docs, weights, most, seed).where("taken > 0").select("doc_id", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    docs, columns = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows"), docs.columns
+    taken = decided(docs, ("_row",), weights, most, seed).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     copies = F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1)
-    rows = docs.join(taken, "doc_id").withColumn("_copy", F.explode(copies))
+    rows = docs.join(taken, "_row").withColumn("_copy", F.explode(copies))
     words = F.col("_taken") - F.col("_copy") * F.col("_size")
     kept = F.slice(F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), words.cast("int"))
     text = F.when(words < F.col("_size"), F.concat_ws("", kept)).otherwise(F.col("text"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns])
