@@ -419,6 +419,18 @@ def test_large_group_of_near_copies_is_one_component(frame):
     assert got == plain_near(list(enumerate(texts)))
 
 
+def test_all_open_pairs_are_tested_when_the_best_are_known(frame, monkeypatch):
+    passes, whole = [], setsketch.open_pairs
+
+    def best_are_known(*given):
+        passes.append(given[-1])
+        return whole(*given).where("false" if given[-1] is not None else "true")
+
+    monkeypatch.setattr(setsketch, "open_pairs", best_are_known)
+    assert setsketch.near_documents(frame(["a b c d e f g", "h i j k l m n"])).count() == 2
+    assert passes == [setsketch.BEST, None]
+
+
 def test_near_documents_of_odd_ids(frame):
     text = "some words that are the same in each"
     rows = setsketch.near_documents(frame([text] * 4, ids=[None, 5, 5, 9])).collect()

@@ -289,7 +289,8 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     for best in (BEST, None):
         more = saved(open_pairs(shared, fine, found, percent, best).join(tested, ["a", "b"], "left_anti"), "open-pairs")
         if more.isEmpty():
-            break
+            # The best may all be tested pairs, so this tells nothing of the others.
+            continue
         tested, links = tested.union(more), links.union(saved(verified(more, texts, percent), "near-links"))
         found = components(links)
     named = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("id"), "left")
