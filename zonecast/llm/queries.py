@@ -3,12 +3,27 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from zonecast.llm import codes, language, mixing, packing, phrases, projections, retrieval, setsketch, shards, tries
+from zonecast.llm import (
+    codes,
+    fragments,
+    interactions,
+    language,
+    mixing,
+    packing,
+    phrases,
+    projections,
+    retrieval,
+    setsketch,
+    shards,
+    tries,
+    whitening,
+)
 from zonecast.llm.store import new_path
 
 SHARDS = 40
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def table(spark, sf_dir, name):
@@ -70,6 +85,22 @@ def op10_setsketch(spark, sf_dir):
     return setsketch.near_documents(table(spark, sf_dir, "documents"), 75)
 
 
+def op11_filter_tensors(spark, sf_dir):
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_contour_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_forced_boundaries(spark, sf_dir):
+    path = public_tokenizers.path(BYTE_BPE)
+    decoded = fragments.decode(fragments.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_string_kernels": op1_string_kernels,
     "op2_sampled_splitters": op2_sampled_splitters,
@@ -81,4 +112,7 @@ QUERIES = {
     "op8_norm_buckets": op8_norm_buckets,
     "op9_weighted_mix": op9_weighted_mix,
     "op10_setsketch": op10_setsketch,
+    "op11_filter_tensors": op11_filter_tensors,
+    "op12_contour_whitening": op12_contour_whitening,
+    "op13_forced_boundaries": op13_forced_boundaries,
 }
