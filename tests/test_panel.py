@@ -176,3 +176,39 @@ def test_raw_trips_are_counted_before_any_shuffle(spark):
     # Reading upwards from the trips, the partial count comes before the first exchange.
     below = plan[plan.index("partial_count"):]
     assert "Exchange" not in below.split("Scan")[0]
+
+
+def test_exact_duplicates_of_any_types(spark):
+    """Against plain counting, with NULLs in every place, NaN, zeros of both signs, nested columns and odd names."""
+    rows = [
+        (1, None, 0.0, "a", [1, None], (1, "x")),
+        (1, None, -0.0, "a", [1, None], (1, "x")),
+        (None, 1, 0.0, "a", [1, None], (1, "x")),
+        (2, 2, float("nan"), None, None, (None, None)),
+        (2, 2, float("nan"), None, None, (None, None)),
+        (2, 2, float("nan"), None, None, None),
+        (3, 3, 1.5, "b", [], (1, "x")),
+    ]
+    schema = "row int, bits int, `a.b` double, word string, list array<int>, pair struct<copies:int,y:string>"
+    frame = spark.createDataFrame(rows * 1 + rows[-1:] * 4, schema)
+    got = sorted((r["row"], r["copies"]) for r in audit.exact_duplicates(frame).collect())
+    assert got == [(1, 2), (2, 2), (3, 5)]
+    assert audit.exact_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [1, 64, audit.FILTER_WORDS])
+def test_a_full_filter_loses_no_duplicate(spark, words):
+    frame = spark.range(3000).select((F.col("id") % 2000).alias("a"), F.lit("x").alias("b"))
+    suspected = audit.suspected_rows(frame, words)
+    assert suspected.count() == (3000 if words == 1 else suspected.count()) >= 2000
+    found = audit.exact_duplicates(frame, words)
+    assert found.count() == 1000 and {r["copies"] for r in found.collect()} == {2}
+
+
+def test_rows_without_a_copy_move_as_digests(spark):
+    frame = spark.range(5000).select("id", F.repeat(F.lit("wide"), 50).alias("text"), F.lit(1).alias("more"))
+    plan = audit.exact_duplicates(frame)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert sum("text" in line for line in moved) == 1 and any("digest" in line for line in moved)
+    # What is grouped on all columns are the suspected rows alone.
+    assert audit.suspected_rows(frame).count() < 5

@@ -58,3 +58,44 @@ def test_a_diagonal_takes_only_the_cells_that_it_crosses(spark):
         for i in range(5001):
             t = i / 5000
             assert (zone, int((x1 + t * (x2 - x1)) // 1), int((y1 + t * (y2 - y1)) // 1)) in held
+
+
+def zigzag(zone, n, side):
+    """A ring whose lower edge is a line of ``n`` short pieces, shared with the ring on its other side."""
+    line = [(i * 0.02, 0.0) for i in range(n + 1)]
+    return [(zone, "Q", 0, i, x, y) for i, (x, y) in enumerate([*line, (n * 0.02, side * 500.0), (0.0, side * 500.0), line[0]])]
+
+
+def test_many_short_pieces_in_one_place(spark):
+    n = 50_000
+    rows = zigzag(1, n, 1) + zigzag(2, n, -1)
+    far = [(3, "Q", 0, i, x, y) for i, (x, y) in enumerate([(1000.0, 0.0), (9000.0, 0.0), (9000.0, 90.0), (1000.0, 90.0), (1000.0, 0.0)])]
+    frame = spark.createDataFrame(rows + far, "zone_id int, borough string, ring int, seq int, x double, y double")
+    pairs = {(r.zone_id, r.neighbor_id): r.shared_boundary_m for r in adjacency.boundary_pairs(frame).collect()}
+    # The line ends at x = 1000, where the far box begins: it shares its left side with the upper ring.
+    assert pairs == {(1, 2): pytest.approx(1000.0), (1, 3): pytest.approx(90.0), (2, 3): 0.0}
+    leveled = adjacency.sized(adjacency.ring_segments(frame), 0.01)
+    assert adjacency.line_candidates(leveled, 0.01).count() < 200 * n
+    assert adjacency.point_candidates(leveled, 0.01).count() < 60 * n
+
+
+def test_long_and_short_pieces_share_a_line(spark):
+    n = 2000
+    rows = zigzag(1, n, 1) + [(2, "Q", 0, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (40.0, 0.0), (40.0, -9.0), (0.0, -9.0), (0.0, 0.0)])]
+    frame = spark.createDataFrame(rows, "zone_id int, borough string, ring int, seq int, x double, y double")
+    assert adjacency.boundary_pairs(frame).first().shared_boundary_m == pytest.approx(40.0)
+
+
+def test_pieces_shorter_than_the_tolerance_count(spark):
+    line = [(i * 0.004, 0.0) for i in range(501)]
+    rows = [(z, "Q", 0, i, x, y) for z, s in ((1, 1), (2, -1)) for i, (x, y) in enumerate([*line, (2.0, s * 3.0), (0.0, s * 3.0), line[0]])]
+    frame = spark.createDataFrame(rows, "zone_id int, borough string, ring int, seq int, x double, y double")
+    assert adjacency.boundary_pairs(frame).first().shared_boundary_m == pytest.approx(2.0, rel=1e-6)
+
+
+def test_no_job_runs_before_the_pairs_are_asked_for(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    adjacency.boundary_pairs(squares(spark))
+    assert not tracker.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

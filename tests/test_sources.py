@@ -120,3 +120,51 @@ def test_checkpoint_is_reliable(spark):
     made = cut_lineage(panel(spark, 3))
     assert made.count() == 6
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def trip_file(spark, path, schema, rows):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path))
+    return str(path)
+
+
+def test_trip_files_of_differing_schemas(spark, tmp_path):
+    old = trip_file(spark, tmp_path / "trips_2026-01", "id int, fee float, n int, tag string", [(1, 0.5, 3, "a")])
+    new = trip_file(spark, tmp_path / "trips_2026-02", "ID bigint, n double, extra string, fee double", [(1 << 40, 2.5, "x", 0.25)])
+    last = trip_file(spark, tmp_path / "trips_2026-03", "id int, fee float, n int, tag string", [(7, 1.5, None, None)])
+    got = sources.read_trips(spark, old, new, last)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema.fields] == [
+        ("id", "bigint"), ("fee", "double"), ("n", "double"), ("tag", "string"), ("extra", "string"), ("file_month", "string"),
+    ]
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 0.5, 3.0, "a", None, "2026-01"),
+        (7, 1.5, None, None, None, "2026-03"),
+        (1 << 40, 0.25, 2.5, None, "x", "2026-02"),
+    ]
+    # Paths of one schema share a scan, and filters reach every scan.
+    plan = got.where("id > 5")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("GreaterThan(") == 2
+
+
+def test_conflicting_files_under_one_path(spark, tmp_path):
+    for month, kind in (("2026-01", "int"), ("2026-02", "bigint")):
+        trip_file(spark, tmp_path / "all" / f"month={month}", f"id {kind}, v string", [(1, month)])
+    assert sources.file_schema(spark, str(tmp_path / "all")) is None
+    got = sources.read_trips(spark, str(tmp_path / "all"))
+    assert sorted((r["id"], r["v"], r["file_month"]) for r in got.collect()) == [(1, "2026-01", "2026-01"), (1, "2026-02", "2026-02")]
+    text = trip_file(spark, tmp_path / "trips_2026-03", "id string", [("1",)])
+    with pytest.raises(ValueError, match="id as int and as string"):
+        sources.read_trips(spark, str(tmp_path / "all" / "month=2026-01"), text)
+    with pytest.raises(Exception, match="nowhere"):
+        sources.read_trips(spark, str(tmp_path / "nowhere"))
+
+
+def test_schema_of_every_file_is_judged(spark, tmp_path):
+    good = ", ".join(f"{c} {'timestamp_ntz' if c.endswith('datetime') else 'int'}" for c in contracts.TRIP_COLUMNS)
+    paths = [
+        trip_file(spark, tmp_path / "a_2026-01", good, []),
+        trip_file(spark, tmp_path / "a_2026-02", good.replace("PULocationID int", "PULocationID double").replace("timestamp_ntz", "timestamp"), []),
+        trip_file(spark, tmp_path / "a_2026-03", "fare_amount int", []),
+    ]
+    found = contracts.check_file_schemas(spark, sources.path_schemas(spark, paths))
+    bad = {(r["file"][-7:], r["check"]): r["bad_columns"] for r in found.collect() if r["bad_columns"]}
+    assert bad == {("2026-02", "fractional_id"): 1, ("2026-02", "zoned_time"): 2, ("2026-03", "missing_column"): 7}

@@ -150,7 +150,7 @@ def test_intervals_match_numpy(spark):
     written = resample.linear_percentiles(draws, [("a", "b")], (0.025,)).first()
     assert written.delta_mae == pytest.approx(row.delta_mae_low)
     zero = draws.withColumn("mae", F.lit(0.0))
-    with pytest.raises(Exception, match="zero-MAE"):
+    with pytest.raises(Exception, match="USER_RAISED_EXCEPTION"):
         resample.contrast_intervals(zero, pooled, [("a", "b")], 1).collect()
     with pytest.raises(ValueError):
         resample.check_contrasts([("a", "a")], ["a"])
@@ -304,3 +304,27 @@ def test_next_hour_needs_a_week(spark):
     assert forecasts.score_next_hour(frame, scorer, trained_zones=seen).count() == 1
     with pytest.raises(Exception, match="No training rows"):
         forecasts.score_next_hour(frame, scorer, trained_zones=seen.where("zone_id = 3")).collect()
+
+
+def test_r2_of_a_large_target_with_small_noise(spark):
+    rng = np.random.default_rng(4)
+    noise = rng.standard_normal(3000)
+    target = 1e9 + noise
+    guess = 1e9 + 0.5 * noise
+    rows = [(f"fold_{i % 3}", i % 7, float(t), float(g)) for i, (t, g) in enumerate(zip(target, guess, strict=True))]
+    frame = spark.createDataFrame(rows, "fold string, part int, demand double, m double")
+    miss = np.array([t - g for _, _, t, g in rows])
+    want = 1 - (miss**2).sum() / ((target - target.mean()) ** 2).sum()
+    assert scores.pooled_scores(frame, ["m"]).first()["r2"] == pytest.approx(want, rel=1e-6)
+    pooled = scores.all_scores(frame, ["m"]).where("scope = 'pooled'").first()["r2"]
+    by_part = scores.slice_scores(frame, ["m"], ["part"], keys=()).collect()
+    assert pooled == pytest.approx(want, rel=1e-6) and len(by_part) == 7
+    for r in by_part:
+        held = np.array([i % 7 == int(r["value"]) for i in range(len(rows))])
+        assert r["r2"] == pytest.approx(1 - (miss[held] ** 2).sum() / ((target[held] - target[held].mean()) ** 2).sum(), rel=1e-6)
+
+
+def test_r2_is_null_without_spread(spark):
+    frame = spark.createDataFrame([("a", 2.0, 1.0), ("a", 2.0, 3.0), ("b", 5.0, 1.0)], "fold string, demand double, m double")
+    got = {r["scope"]: r["r2"] for r in scores.all_scores(frame, ["m"]).collect()}
+    assert got["a"] is None and got["b"] is None and got["pooled"] is not None

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from zonecast.functions.clock import hour_floor, hours, month_text
+from zonecast.functions.clock import hours, month_text
 from zonecast.operators.panel import prepare_panel
+from zonecast.session import new_path
 
 # Events are moved by 50 days so that the window holds a month change and the skipped hour of
 # 2024-03-10. All dates are local midnights.
@@ -74,20 +75,52 @@ def trips(spark, sf):
     )
 
 
-def coarse_trips(spark, sf):
-    """Trips cut to vendor, hour and zone, so that exact duplicates occur."""
-    return trips(spark, sf).select(
-        "VendorID",
-        hour_floor(F.col("tpep_pickup_datetime")).alias("tpep_pickup_datetime"),
-        "PULocationID",
-        "file_month",
+def doubled_trips(spark, sf):
+    """All trips, a third of them recorded two or three times with every column alike."""
+    k = F.col("DOLocationID")
+    copies = F.when(k % 7 == 0, 3).when(k % 5 == 0, 2).otherwise(1)
+    return trips(spark, sf).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
+
+
+def trip_files(spark, sf):
+    """The trips as files of two schemas, as a source changes over the months: March has wider ids, whole passenger
+    counts and one column more. Returns the paths by month."""
+    rows = trips(spark, sf)
+    wide = rows.withColumns(
+        {
+            "PULocationID": F.col("PULocationID").cast("long"),
+            "passenger_count": F.col("passenger_count").cast("int"),
+            "airport_fee": F.col("DOLocationID") / 4,
+        }
+    )
+    root, paths = new_path(spark, "trips"), {}
+    for month, frame in (("2024-02", rows), ("2024-03", wide)):
+        paths[month] = f"{root}/trips_{month}"
+        frame.where(F.col("file_month") == month).drop("file_month").write.parquet(paths[month])
+    return paths
+
+
+def faulty_trip_file(spark, sf):
+    """A month whose file breaks four rules of the schema."""
+    path = f"{new_path(spark, 'trips')}/trips_2024-04"
+    k = F.col("DOLocationID")
+    (
+        trips(spark, sf)
+        .withColumns({"tpep_pickup_datetime": F.col("tpep_pickup_datetime").cast("timestamp"), "PULocationID": k / 2, "tags": F.create_map(k, k)})
+        .drop("file_month", "payment_type", "fare_amount")
+        .write.parquet(path)
     )
+    return path
 
 
 def panel(spark, sf, stop=STOP):
     return prepare_panel(trips(spark, sf), zones(spark, sf), START, stop)
 
 
+def doubled_panel(spark, sf):
+    return prepare_panel(doubled_trips(spark, sf), zones(spark, sf), START, STOP)
+
+
 def order_days(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderdate").alias("day")).distinct()
 

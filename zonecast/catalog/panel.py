@@ -8,6 +8,7 @@ from zonecast.functions.clock import hour_floor, hours
 from zonecast.operators import audit, contracts, panel
 from zonecast.operators.folds import utc_midnight
 from zonecast.plans.quality import label_sensitivity
+from zonecast.session import new_path
 from zonecast.sources import tables as sources
 
 KEPT = b.REGIONS[:4]
@@ -39,12 +40,13 @@ def all_counts(spark, sf):
     )
 
 
-def coarse_eligible(spark, sf):
-    return panel.eligible_trips(b.coarse_trips(spark, sf), b.zones(spark, sf), b.START, b.STOP)
+def repeated(spark, sf):
+    kept = panel.eligible_trips(b.doubled_trips(spark, sf), b.zones(spark, sf), b.START, b.STOP)
+    return audit.exact_duplicates(kept)
 
 
-def repeated(spark, sf):
-    return audit.exact_duplicates(coarse_eligible(spark, sf))
+def doubled_counts(spark, sf):
+    return panel.utc_counts(panel.hourly_counts(b.doubled_trips(spark, sf), b.zones(spark, sf), b.START, b.STOP))
 
 
 def rollup(spark, sf):
@@ -65,14 +67,59 @@ def flags(spark, sf):
 
 
 def alternative(spark, sf):
-    return audit.dedup_panel(b.panel(spark, sf), rollup(spark, sf))
+    return audit.dedup_panel(b.doubled_panel(spark, sf), rollup(spark, sf))
 
 
 @query
 def read_trips(spark, sf):
+    """Written files of two schemas, read back as one table."""
+    return sources.read_trips(spark, *b.trip_files(spark, sf).values())
+
+
+@query
+def trips_of_months(spark, sf):
     return sources.trips_of_months(b.trips(spark, sf), "2024-03", "2024-03")
 
 
+@query
+def check_trip_schema(spark, sf):
+    paths = [*b.trip_files(spark, sf).values(), b.faulty_trip_file(spark, sf)]
+    found = contracts.check_file_schemas(spark, sources.path_schemas(spark, paths))
+    return found.withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
+@query
+def write_panel(spark, sf):
+    """The panel written by month and read back in a window that ends inside the second month."""
+    path = new_path(spark, "panel")
+    sources.write_panel(b.panel(spark, sf), path)
+    return sources.read_window(spark, path, "2024-02-25 05:00:00", "2024-03-15 04:00:00")
+
+
+@query
+def write_report_tables(spark, sf):
+    """The quality report and the zone lookup as CSV and Parquet, read back and joined by nothing: one row per table row."""
+    report, path = panel.monthly_quality(b.trips(spark, sf), b.zones(spark, sf)), new_path(spark, "report")
+    sources.write_report_table(report, f"{path}/quality")
+    sources.write_table(b.zones(spark, sf), f"{path}/zones")
+    quality = spark.read.csv(f"{path}/quality", schema=report.schema, header=True, mode="FAILFAST", enforceSchema=False)
+    zones = spark.read.parquet(f"{path}/zones")
+    per_zone = zones.select(F.lit("zones").alias("report"), F.col("Zone").alias("key"), F.col("zone_id").cast("long").alias("value"))
+    counts = [name for name in report.columns if name != "month"]
+    per_month = quality.unpivot("month", counts, "column", "value").select(
+        F.lit("quality").alias("report"), F.concat_ws(" ", "month", "column").alias("key"), F.col("value").cast("long").alias("value")
+    )
+    return per_month.unionByName(per_zone)
+
+
+@query
+def write_run_record(spark, sf):
+    """The panel's summary as one JSON record, read back."""
+    record, path = panel.panel_summary(b.panel(spark, sf)), new_path(spark, "record")
+    sources.write_run_record(record, path)
+    return spark.read.json(path, schema=record.schema, mode="FAILFAST")
+
+
 @query
 def load_zones(spark, sf):
     return sources.load_zones(b.lookup(spark, sf), KEPT)
@@ -126,7 +173,7 @@ def check_volume_series(spark, sf):
 @query
 def reconcile_tables(spark, sf):
     columns = ["zone_id", "hour", "demand"]
-    return contracts.reconcile_tables(b.panel(spark, sf), alternative(spark, sf), columns)
+    return contracts.reconcile_tables(b.doubled_panel(spark, sf), alternative(spark, sf), columns)
 
 
 @query
@@ -173,6 +220,13 @@ def dst_dropped(spark, sf):
 
 @query
 def hour_spine(spark, sf):
+    """UTC hours from the first order date to the last."""
+    first, last = b.order_days(spark, sf).agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    return panel.hour_spine(spark, first, last)
+
+
+@query
+def month_spines(spark, sf):
     """Every order date that is a first of a month starts one spine; repeated hours are counted."""
     starts = b.order_days(spark, sf).groupBy(F.trunc("day", "month").alias("first")).agg(
         F.count(F.lit(1)).alias("days")
@@ -252,7 +306,7 @@ def dedup_panel(spark, sf):
 
 @query
 def duplicates_by_month(spark, sf):
-    return audit.duplicates_by_month(utc_counts(spark, sf), rollup(spark, sf))
+    return audit.duplicates_by_month(doubled_counts(spark, sf), rollup(spark, sf))
 
 
 @query
@@ -272,7 +326,7 @@ def duplicate_share(spark, sf):
 
 @query
 def baseline_sensitivity(spark, sf):
-    recorded = b.panel(spark, sf)
+    recorded = b.doubled_panel(spark, sf)
     return label_sensitivity(
         recorded, alternative(spark, sf), b.START, b.BOUNDARIES[2], b.SEALED
     )

@@ -6,8 +6,9 @@ from zonecast import bindings as b
 from zonecast.catalog.registry import query
 from zonecast.catalog.study import FOLDS, delayed_predictions, features, predictions
 from zonecast.operators import contracts, resample, scores
-from zonecast.session import cut_lineage
+from zonecast.session import cut_lineage, new_path
 from zonecast.settings import BASELINES
+from zonecast.sources import tables as sources
 
 MODELS = list(BASELINES)
 DELAYED = ["latest_available", *MODELS[1:]]
@@ -85,6 +86,14 @@ def daily_scores(spark, sf):
     return daily(spark, sf)
 
 
+@query
+def read_daily_errors(spark, sf):
+    """The daily error table as CSV, read back under its schema."""
+    path = new_path(spark, "daily")
+    sources.write_report_table(daily(spark, sf).select("fold", "date_nyc", "model", "rows", "mae"), path)
+    return sources.read_daily_errors(spark, path)
+
+
 @query
 def compare_models(spark, sf):
     return scores.compare_models(scores.all_scores(predictions(spark, sf), MODELS), CONTRASTS)

@@ -1,18 +1,21 @@
 """Polygon neighbours from a vertex table ``zone_id, borough, ring, seq, x, y`` (closed rings).
 
-Boundary pieces meet on a key of grid cell, direction and distance to the cell centre, so only
-pieces that lie on the same stretch of the same line become candidates. Exact geometry decides.
+Boundary pieces lie in cells about as large as they are long, and reach up through the larger cells around them. Two pieces meet
+in a cell of the longer one, on a key of direction and distance to the cell centre, so only pieces that lie on the same
+stretch of the same line become candidates, however dense the map is there. Exact geometry decides.
 """
 
 from math import pi
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecast.functions.tables import count_true
 from zonecast.operators.contracts import check_rows
 
 ANGLE_STEP = 1e-3
+# Cells of a level are so many times as wide as those of the level below.
+LEVEL_FACTOR = 4.0
 
 
 def geometry_identity(vertices: DataFrame, zones: DataFrame, allow_outside: bool = True) -> DataFrame:
@@ -60,20 +63,30 @@ def ring_segments(vertices: DataFrame) -> DataFrame:
     )
 
 
-def default_cell(segments: DataFrame) -> float:
-    """Twice the mean segment length: most segments touch one or two cells."""
-    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    return float(2 * segments.agg(F.avg(length)).first()[0])
+def cell_width(level) -> Column:
+    return F.pow(F.lit(LEVEL_FACTOR), level.cast("double"))
 
 
-def cells_of(low, high, cell: float, tolerance: float):
+def sized(segments: DataFrame, tolerance: float) -> DataFrame:
+    """Adds ``own``: the level whose cells are just as wide as the segment is long, and wider than the tolerance."""
+    length = F.greatest(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.lit(16 * tolerance))
+    return segments.withColumn("own", F.ceil(F.log(LEVEL_FACTOR, length)).cast("int"))
+
+
+def at_levels(leveled: DataFrame) -> DataFrame:
+    """Each segment once per ``level`` of the table; these are a few numbers, however many rows it has, and a subquery of the plan."""
+    present = leveled.agg(F.array_sort(F.collect_set("own"))).scalar()
+    return leveled.withColumn("level", present).withColumn("level", F.explode("level"))
+
+
+def cells_of(low, high, cell, tolerance: float):
     """Cell numbers of a coordinate interval, with a margin of the tolerance."""
     return F.sequence(
         F.floor((low - tolerance) / cell).cast("bigint"), F.floor((high + tolerance) / cell).cast("bigint")
     )
 
 
-def in_cells(segments: DataFrame, cell: float, tolerance: float) -> DataFrame:
+def in_cells(segments: DataFrame, cell, tolerance: float) -> DataFrame:
     """Each segment once per cell that it crosses, with a margin of the tolerance.
 
     Columns of cells are walked, and in each only the rows that the segment reaches there: a diagonal through n
@@ -92,7 +105,7 @@ def in_cells(segments: DataFrame, cell: float, tolerance: float) -> DataFrame:
     return columns.withColumn("cy", F.explode(cells_of(bottom, top, cell, tolerance)))
 
 
-def line_keys(placed: DataFrame, cell: float, tolerance: float) -> DataFrame:
+def line_keys(placed: DataFrame, cell, tolerance: float) -> DataFrame:
     """Direction and offset buckets. Each value enters its bucket and the next, so near values
     always share one; a direction close to the wrap-around enters from both ends."""
     angle = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
@@ -120,19 +133,32 @@ def line_keys(placed: DataFrame, cell: float, tolerance: float) -> DataFrame:
 
 def side(frame: DataFrame, tag: str) -> DataFrame:
     return frame.select(
+        "level",
         "cx",
         "cy",
         *[c for c in ("ka", "ko") if c in frame.columns],
-        *[F.col(c).alias(f"{tag}_{c}") for c in ("zone_id", "ring", "seq", "x1", "y1", "x2", "y2")],
+        *[F.col(c).alias(f"{tag}_{c}") for c in ("own", "zone_id", "ring", "seq", "x1", "y1", "x2", "y2")],
     )
 
 
-def shared_lengths(placed: DataFrame, cell: float, tolerance: float) -> DataFrame:
+def line_candidates(leveled: DataFrame, tolerance: float) -> DataFrame:
+    """Pairs of pieces of two zones in one cell of the longer one, on one line. Of equally long ones the smaller zone is ``a``.
+
+    A piece as long as a cell leaves room for few others beside it on its line, so a piece meets a few longer ones per level, and no
+    number of short pieces in a place makes them all meet.
+    """
+    upward = at_levels(leveled).where("level >= own")
+    cell = cell_width(F.col("level"))
+    keyed = line_keys(in_cells(upward, cell, tolerance), cell, tolerance)
+    longer = side(keyed.where("level = own"), "a")
+    apart = (F.col("a_own") > F.col("b_own")) & (F.col("a_zone_id") != F.col("b_zone_id"))
+    alike = (F.col("a_own") == F.col("b_own")) & (F.col("a_zone_id") < F.col("b_zone_id"))
+    return longer.join(side(keyed, "b"), ["level", "cx", "cy", "ka", "ko"]).where(apart | alike)
+
+
+def shared_lengths(leveled: DataFrame, tolerance: float) -> DataFrame:
     """``zone_id, neighbor_id, length`` of collinear overlaps."""
-    keyed = line_keys(placed, cell, tolerance)
-    pairs = side(keyed, "a").join(side(keyed, "b"), ["cx", "cy", "ka", "ko"]).where(
-        F.col("a_zone_id") < F.col("b_zone_id")
-    )
+    pairs = line_candidates(leveled, tolerance)
     dx, dy = F.col("a_x2") - F.col("a_x1"), F.col("a_y2") - F.col("a_y1")
     size = F.hypot(dx, dy)
     along = lambda x, y: ((F.col(x) - F.col("a_x1")) * dx + (F.col(y) - F.col("a_y1")) * dy) / size
@@ -140,29 +166,38 @@ def shared_lengths(placed: DataFrame, cell: float, tolerance: float) -> DataFram
         (F.col(x) - F.col("a_x1")) * dy - (F.col(y) - F.col("a_y1")) * dx
     ) / size
     first, second = along("b_x1", "b_y1"), along("b_x2", "b_y2")
+    # Pieces that only meet at their ends overlap by rounding; pieces may be shorter than the tolerance themselves.
+    least = F.least(F.lit(tolerance), size / 2, F.abs(second - first) / 2)
     length = F.least(size, F.greatest(first, second)) - F.greatest(F.lit(0.0), F.least(first, second))
     hits = pairs.where(
         (away("b_x1", "b_y1") <= tolerance) & (away("b_x2", "b_y2") <= tolerance)
-    ).withColumn("length", length).where(F.col("length") > tolerance)
+    ).withColumn("length", length).where(F.col("length") > least)
     # The same two segments can meet under several keys; count them once.
     once = hits.groupBy(
         "a_zone_id", "a_ring", "a_seq", "b_zone_id", "b_ring", "b_seq"
     ).agg(F.max("length").alias("length"))
     return once.groupBy(
-        F.col("a_zone_id").alias("zone_id"), F.col("b_zone_id").alias("neighbor_id")
+        F.least("a_zone_id", "b_zone_id").alias("zone_id"), F.greatest("a_zone_id", "b_zone_id").alias("neighbor_id")
     ).agg(F.sum("length").alias("length"))
 
 
-def touching_points(segments: DataFrame, placed: DataFrame, cell: float, tolerance: float) -> DataFrame:
-    """Zone pairs where a vertex of one lies on the boundary of the other."""
-    corners = segments.select(
+def point_candidates(leveled: DataFrame, tolerance: float) -> DataFrame:
+    """Each vertex with the pieces of other zones that have about their own length to it."""
+    corners = at_levels(leveled).select(
         F.col("zone_id").alias("p_zone_id"),
         F.col("x1").alias("px"),
         F.col("y1").alias("py"),
-        F.floor(F.col("x1") / cell).cast("bigint").alias("cx"),
-        F.floor(F.col("y1") / cell).cast("bigint").alias("cy"),
+        "level",
+        F.floor(F.col("x1") / cell_width(F.col("level"))).cast("bigint").alias("cx"),
+        F.floor(F.col("y1") / cell_width(F.col("level"))).cast("bigint").alias("cy"),
     )
-    near = corners.join(side(placed, "s"), ["cx", "cy"]).where(F.col("p_zone_id") != F.col("s_zone_id"))
+    pieces = in_cells(leveled.withColumn("level", F.col("own")), cell_width(F.col("level")), tolerance)
+    return corners.join(side(pieces, "s"), ["level", "cx", "cy"]).where(F.col("p_zone_id") != F.col("s_zone_id"))
+
+
+def touching_points(leveled: DataFrame, tolerance: float) -> DataFrame:
+    """Zone pairs where a vertex of one lies on the boundary of the other."""
+    near = point_candidates(leveled, tolerance)
     dx, dy = F.col("s_x2") - F.col("s_x1"), F.col("s_y2") - F.col("s_y1")
     at = ((F.col("px") - F.col("s_x1")) * dx + (F.col("py") - F.col("s_y1")) * dy) / (dx * dx + dy * dy)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), at))
@@ -179,15 +214,12 @@ def boundary_pairs(
     vertices: DataFrame,
     unit_m: float = 1.0,
     min_m: float = 1.0,
-    cell: float | None = None,
     tolerance: float = 0.01,
 ) -> DataFrame:
     """Touching zones with their shared boundary in metres; corner contact has length 0."""
-    segments = ring_segments(vertices)
-    cell = cell or default_cell(segments)
-    placed = in_cells(segments, cell, tolerance)
-    lengths = shared_lengths(placed, cell, tolerance)
-    points = touching_points(segments, placed, cell, tolerance).withColumn("length", F.lit(0.0))
+    leveled = sized(ring_segments(vertices), tolerance)
+    lengths = shared_lengths(leveled, tolerance)
+    points = touching_points(leveled, tolerance).withColumn("length", F.lit(0.0))
     metres = F.sum("length") * unit_m
     return (
         lengths.unionByName(points)

@@ -1,6 +1,6 @@
 """Data-quality audit: exact duplicates, reporting volumes, label sensitivity."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.functions.clock import hour_floor, hours, month_text, resolved, to_local
@@ -17,13 +17,47 @@ def development_range(trips: DataFrame, start: str, sealed: str) -> DataFrame:
     return inside.groupBy(pickup_month.alias("month")).agg(F.count(F.lit(1)).alias("trips"))
 
 
-def exact_duplicates(frame: DataFrame) -> DataFrame:
+# 64-bit words of the filter that says which rows may repeat: 4 MB, 16 million bits.
+FILTER_WORDS = 1 << 18
+
+
+def every_column(frame: DataFrame) -> list[Column]:
+    return [F.col(f"`{name.replace('`', '``')}`") for name in frame.columns]
+
+
+def row_digest(frame: DataFrame) -> Column:
+    """64 bits of all columns. The hash passes over NULLs, so where they stand is hashed too."""
+    cells = every_column(frame)
+    return F.xxhash64(F.array(*[cell.isNull() for cell in cells]), *cells)
+
+
+def suspected_rows(frame: DataFrame, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """All rows that have a copy and some that have none: what is left to group exactly.
+
+    Every row's digest is counted, which moves 16 bytes for a row without a copy. The digests that repeat set bits of a
+    filter of at most ``filter_words`` words, whatever the number of rows, and the rows whose bit is not set
+    have no copy. A fuller filter lets more rows pass and loses none.
+    """
+    place = lambda digest: (
+        F.pmod(digest, F.lit(filter_words)).alias("word"),
+        F.pmod(F.shiftrightunsigned(digest, 40), F.lit(64)).cast("int").alias("bit"),
+    )
+    counted = frame.select(row_digest(frame).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    repeated = counted.where("copies > 1").select(*place(F.col("digest")))
+    bits = repeated.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    rows = frame.select(F.struct("*").alias("row"), *place(row_digest(frame)))
+    # Broadcast by a proven bound: one row per word of the filter.
+    return rows.join(F.broadcast(bits), "word").where(F.getbit("bits", F.col("bit")) == 1).select("row.*")
+
+
+def exact_duplicates(frame: DataFrame, filter_words: int = FILTER_WORDS) -> DataFrame:
     """Groups of rows equal in every column (NULL equals NULL) with ``copies`` > 1.
 
-    Copies are counted before the shuffle, so a row repeated a billion times moves as one row
-    per task.
+    Only rows whose digest repeats are grouped, and those on all columns, so the digest decides nothing. Their copies are
+    counted before the shuffle: a row repeated a billion times moves as one row per task.
     """
-    return frame.groupBy(*frame.columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    suspected = suspected_rows(frame, filter_words)
+    return suspected.groupBy(*every_column(frame)).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
 def duplicate_rollup(duplicates: DataFrame, zone: str = ZONE, pickup: str = PICKUP) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,21 +54,36 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str], name: str) ->
     return check_rows(missing.agg(F.count(F.lit(1)).alias(name)), [name])
 
 
+def schema_breaches(schema: T.StructType, required=TRIP_COLUMNS, vendor: bool = False) -> dict[str, list[str]]:
+    """Per rule the columns that break it: required ones that lack, zoned times, fractional ids, types that can't be grouped."""
+    types = {f.name: f.dataType for f in schema.fields}
+    wanted = [*required, "VendorID"] if vendor else list(required)
+    held = [name for name in required if name in types]
+    return {
+        "missing_column": [name for name in wanted if name not in types],
+        "zoned_time": [n for n in held if n.endswith("_datetime") and not isinstance(types[n], T.TimestampNTZType)],
+        "fractional_id": [n for n in held if n.endswith("LocationID") and not isinstance(types[n], T.IntegralType)],
+        "map_column": [name for name, kind in types.items() if isinstance(kind, T.MapType)],
+    }
+
+
 def check_trip_schema(trips: DataFrame, required=TRIP_COLUMNS, vendor: bool = False) -> None:
     """Required columns, naive timestamps, integer ids, groupable types. Reads no data."""
-    types = {f.name: f.dataType for f in trips.schema.fields}
-    wanted = [*required, "VendorID"] if vendor else list(required)
-    absent = [name for name in wanted if name not in types]
-    if absent:
-        raise ValueError(f"Missing trip columns: {absent}")
-    for name in required:
-        if name.endswith("_datetime") and not isinstance(types[name], T.TimestampNTZType):
-            raise ValueError(f"{name} must be a timestamp without time zone")
-        if name.endswith("LocationID") and not isinstance(types[name], T.IntegralType):
-            raise ValueError(f"{name} must be an integer")
-    maps = [name for name, kind in types.items() if isinstance(kind, T.MapType)]
-    if maps:
-        raise ValueError(f"Map columns cannot be grouped for exact duplicates: {maps}")
+    said = {
+        "missing_column": "Missing trip columns",
+        "zoned_time": "Trip times must be timestamps without time zone",
+        "fractional_id": "Trip zones must be an integer",
+        "map_column": "Map columns cannot be grouped for exact duplicates",
+    }
+    for rule, columns in schema_breaches(trips.schema, required, vendor).items():
+        if columns:
+            raise ValueError(f"{said[rule]}: {columns}")
+
+
+def check_file_schemas(spark: SparkSession, schemas: list[tuple[str, T.StructType]], required=TRIP_COLUMNS) -> DataFrame:
+    """``file, check, bad_columns`` per path and rule: the same rules for each file, before any row is read."""
+    rows = [(path, rule, len(bad)) for path, schema in schemas for rule, bad in schema_breaches(schema, required).items()]
+    return spark.createDataFrame(rows, "file string, check string, bad_columns long")
 
 
 def check_zones(raw: DataFrame, boroughs, id_range=ZONE_ID_RANGE) -> DataFrame:

@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.functions.accuracy import metric_columns
+from zonecast.functions.accuracy import merged, metric_columns
 from zonecast.functions.clock import day_text, to_local
 from zonecast.functions.quantiles import exact_quantiles
 from zonecast.functions.tables import count_true
 from zonecast.operators.contracts import check_rows
-from zonecast.operators.scores import error_cube, rolled
+from zonecast.operators.scores import error_cube
 from zonecast.settings import BAND_PROBABILITIES
 
 REPORT_DIMENSIONS = ("zone_id", "borough", "local_hour", "weekday", "rush_hour", "demand_band")
@@ -79,7 +79,7 @@ def error_slices(predictions: DataFrame, model: str, dimensions=REPORT_DIMENSION
     sums = [c for c in cube.columns if c not in dimensions]
     text = cube.select(*sums, *[F.col(d).cast("string").alias(d) for d in dimensions])
     long = text.unpivot(sums, dimensions, "dimension", "value")
-    return rolled(long, ["dimension", "value"]).select("dimension", "value", "rows", *metric_columns())
+    return merged(long, ["dimension", "value"]).select("dimension", "value", "rows", *metric_columns())
 
 
 def zone_map_table(panel: DataFrame, predictions: DataFrame, model: str) -> DataFrame:

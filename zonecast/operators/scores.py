@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.functions.accuracy import error_sums, merged_sums, metric_columns
+from zonecast.functions.accuracy import error_sums, merged, metric_columns
 from zonecast.functions.clock import day_text, to_local
 from zonecast.functions.tables import long_models
 from zonecast.settings import SLICE_DIMENSIONS
@@ -15,10 +15,6 @@ def error_cube(predictions: DataFrame, models: list[str], keys: list[str]) -> Da
     return long.groupBy(*keys, "model").agg(*error_sums(F.col("demand"), F.col("prediction")))
 
 
-def rolled(cube: DataFrame, keys: list[str]) -> DataFrame:
-    return cube.groupBy(*keys).agg(*merged_sums())
-
-
 def mae_rmse(predictions: DataFrame, models: list[str]) -> DataFrame:
     return pooled_scores(predictions, models).select("model", "mae", "rmse")
 
@@ -46,7 +42,7 @@ def all_scores(predictions: DataFrame, models: list[str], extra=()) -> DataFrame
     """Pooled and fold scores together as ``scope, model, rows`` and metrics, from one pass."""
     cube = error_cube(predictions, models, [*extra, "fold"])
     scopes = cube.withColumn("scope", F.explode(F.array(F.lit("pooled"), F.col("fold"))))
-    return rolled(scopes, [*extra, "scope", "model"]).select(
+    return merged(scopes, [*extra, "scope", "model"]).select(
         *extra, "scope", "model", "rows", *metric_columns()
     )
 
@@ -64,7 +60,7 @@ def slice_scores(
     sums = [c for c in cube.columns if c not in dimensions]
     text = cube.select(*sums, *[F.col(d).cast("string").alias(d) for d in dimensions])
     long = text.unpivot(sums, dimensions, "dimension", "value")
-    return rolled(long, [*keys, "model", "dimension", "value"]).select(
+    return merged(long, [*keys, "model", "dimension", "value"]).select(
         *keys,
         "model",
         "dimension",

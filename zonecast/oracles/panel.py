@@ -1,6 +1,6 @@
 """Check queries of sources, contracts, panel and audit."""
 
-from zonecast.oracles.parts import check, checks, cte, local, r, strict
+from zonecast.oracles.parts import check, checks, cte, local, r, strict, utc
 
 cte(
     "x_zones",
@@ -58,27 +58,41 @@ cte(
   FROM x_trips GROUP BY 1, 2""",
 )
 cte(
-    "x_coarse",
-    """SELECT "VendorID", date_trunc('hour', tpep_pickup_datetime) AS tpep_pickup_datetime, "PULocationID", file_month
-  FROM x_trips""",
+    "x_doubled",
+    """SELECT t.* FROM x_trips t, (VALUES (1), (2), (3)) AS c(i)
+  WHERE i <= CASE WHEN "DOLocationID" % 7 = 0 THEN 3 WHEN "DOLocationID" % 5 = 0 THEN 2 ELSE 1 END""",
 )
 cte(
-    "x_coarse_eligible",
-    """SELECT * FROM x_coarse
+    "x_doubled_eligible",
+    """SELECT * FROM x_doubled
   WHERE tpep_pickup_datetime >= TIMESTAMP '2024-02-20' AND tpep_pickup_datetime < TIMESTAMP '2024-03-21'
     AND strftime(tpep_pickup_datetime, '%Y-%m') = file_month
     AND "PULocationID" IN (SELECT zone_id FROM x_zones)""",
 )
+cte(
+    "x_doubled_counts",
+    f"""SELECT zone_id, u AS hour, demand FROM (
+    SELECT zone_id, {strict('hour')} AS u, demand FROM (
+      SELECT "PULocationID" AS zone_id, date_trunc('hour', tpep_pickup_datetime) AS hour, count(*) AS demand
+      FROM x_doubled_eligible GROUP BY 1, 2))
+  WHERE u IS NOT NULL""",
+)
+cte(
+    "x_doubled_panel",
+    """SELECT z.zone_id, s.hour, coalesce(c.demand, 0)::INTEGER AS demand, z.borough, z."Zone"
+  FROM x_zones z CROSS JOIN x_spine s LEFT JOIN x_doubled_counts c ON c.zone_id = z.zone_id AND c.hour = s.hour""",
+)
 cte(
     "x_repeated",
-    """SELECT *, count(*) AS copies FROM x_coarse_eligible GROUP BY ALL HAVING count(*) > 1""",
+    """SELECT *, count(*) AS copies FROM x_doubled_eligible GROUP BY ALL HAVING count(*) > 1""",
 )
 cte(
     "x_rollup",
     f"""SELECT * FROM (SELECT "PULocationID" AS zone_id, {strict('tpep_pickup_datetime')} AS hour,
     sum(copies - 1)::BIGINT AS duplicate_excess, count(*) AS duplicate_groups,
     sum(copies)::BIGINT AS repeated_rows, max(copies) AS max_copies
-  FROM x_repeated GROUP BY 1, 2) WHERE hour IS NOT NULL""",
+  FROM (SELECT * REPLACE (date_trunc('hour', tpep_pickup_datetime) AS tpep_pickup_datetime) FROM x_repeated)
+  GROUP BY 1, 2) WHERE hour IS NOT NULL""",
 )
 cte(
     "x_vendor_hours",
@@ -111,11 +125,26 @@ cte(
     "x_alt",
     """SELECT p.zone_id, p.hour, (p.demand - coalesce(d.duplicate_excess, 0))::INTEGER AS demand, p.borough, p."Zone",
     coalesce(d.duplicate_excess, 0)::INTEGER AS duplicate_excess
-  FROM x_panel p LEFT JOIN x_rollup d ON d.zone_id = p.zone_id AND d.hour = p.hour""",
+  FROM x_doubled_panel p LEFT JOIN x_rollup d ON d.zone_id = p.zone_id AND d.hour = p.hour""",
 )
 
 check(
     "read_trips",
+    f"""SELECT * REPLACE ("PULocationID"::BIGINT AS "PULocationID", {r('passenger_count')} AS passenger_count, {r('trip_distance')} AS trip_distance,
+  {r('fare_amount')} AS fare_amount), CASE WHEN file_month = '2024-03' THEN {r('"DOLocationID" / 4.0')} END AS airport_fee FROM x_trips""",
+)
+check(
+    "check_trip_schema",
+    """SELECT 'trips_' || m AS file, c AS "check", CASE WHEN m = '2024-04' THEN bad ELSE 0 END::BIGINT AS bad_columns
+  FROM (SELECT DISTINCT file_month AS m FROM x_trips UNION ALL SELECT '2024-04'),
+    (VALUES ('missing_column', 2), ('zoned_time', 1), ('fractional_id', 1), ('map_column', 1)) AS t(c, bad)""",
+)
+check(
+    "write_panel",
+    """SELECT * FROM x_panel WHERE hour >= TIMESTAMP '2024-02-25 05:00:00' AND hour < TIMESTAMP '2024-03-15 04:00:00'""",
+)
+check(
+    "trips_of_months",
     f"""SELECT * REPLACE ({r('passenger_count')} AS passenger_count, {r('trip_distance')} AS trip_distance,
   {r('fare_amount')} AS fare_amount) FROM x_trips WHERE file_month = '2024-03'""",
 )
@@ -202,10 +231,10 @@ check(
 )
 check(
     "reconcile_tables",
-    """SELECT 'left_only' AS side, count(*) AS rows FROM (SELECT zone_id, hour, demand FROM x_panel EXCEPT ALL
+    """SELECT 'left_only' AS side, count(*) AS rows FROM (SELECT zone_id, hour, demand FROM x_doubled_panel EXCEPT ALL
     SELECT zone_id, hour, demand FROM x_alt)
   UNION ALL SELECT 'right_only', count(*) FROM (SELECT zone_id, hour, demand FROM x_alt EXCEPT ALL
-    SELECT zone_id, hour, demand FROM x_panel)""",
+    SELECT zone_id, hour, demand FROM x_doubled_panel)""",
 )
 check(
     "table_fingerprint",
@@ -227,8 +256,8 @@ check(
         ("total_difference", "SELECT abs((SELECT sum(demand) FROM x_local_counts) - (SELECT sum(demand) FROM x_panel))")
     ),
 )
-check(
-    "monthly_quality",
+cte(
+    "x_quality",
     """SELECT file_month AS month, count(*) AS raw_rows,
     count(*) FILTER (tpep_pickup_datetime IS NULL) AS null_pickups,
     count(*) FILTER (strftime(tpep_pickup_datetime, '%Y-%m') <> file_month) AS outside_file_month,
@@ -239,6 +268,12 @@ check(
     count(*) FILTER (tpep_dropoff_datetime <= tpep_pickup_datetime) AS nonpositive_duration
   FROM x_trips GROUP BY 1""",
 )
+check("monthly_quality", "SELECT * FROM x_quality")
+check(
+    "write_report_tables",
+    """SELECT 'quality' AS report, month || ' ' || c AS key, v::BIGINT AS value FROM (UNPIVOT x_quality ON COLUMNS(* EXCLUDE (month)) INTO NAME c VALUE v)
+  UNION ALL SELECT 'zones', "Zone", zone_id::BIGINT FROM x_zones""",
+)
 check(
     "eligible_trips",
     f"""SELECT * REPLACE ({r('passenger_count')} AS passenger_count, {r('trip_distance')} AS trip_distance,
@@ -262,6 +297,11 @@ check(
 )
 check(
     "hour_spine",
+    f"""SELECT unnest(generate_series({utc('min(o_orderdate)::TIMESTAMP')}, {utc('max(o_orderdate)::TIMESTAMP')} - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS hour
+  FROM orders""",
+)
+check(
+    "month_spines",
     f"""SELECT strftime(f, '%Y-%m-%d') AS month_start, count(*) AS utc_hours, count(DISTINCT {local('h')}) AS local_hours
   FROM (SELECT f, unnest(generate_series((f AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC',
       ((f + INTERVAL 1 MONTH) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS h
@@ -274,9 +314,18 @@ check(
     f"""SELECT count(*) AS panel_rows, count(DISTINCT zone_id) AS nyc_zones, count(DISTINCT hour) AS utc_hours,
     sum(demand)::BIGINT AS total_pickups, {r('avg((demand = 0)::INT)')} AS zero_demand_fraction FROM x_panel""",
 )
+check(
+    "write_run_record",
+    f"""SELECT count(*) AS panel_rows, count(DISTINCT zone_id) AS nyc_zones, count(DISTINCT hour) AS utc_hours,
+    sum(demand)::BIGINT AS total_pickups, {r('avg((demand = 0)::INT)')} AS zero_demand_fraction FROM x_panel""",
+)
 check("prepare_panel", "SELECT * FROM x_panel")
 check("development_range", "SELECT file_month AS month, count(*) AS trips FROM x_trips WHERE file_month = '2024-02' GROUP BY 1")
-check("exact_duplicates", "SELECT * FROM x_repeated")
+check(
+    "exact_duplicates",
+    f"""SELECT * REPLACE ({r('passenger_count')} AS passenger_count, {r('trip_distance')} AS trip_distance,
+  {r('fare_amount')} AS fare_amount) FROM x_repeated""",
+)
 check("duplicate_rollup", "SELECT * FROM x_rollup")
 check("vendor_counts", "SELECT * FROM x_vendor_hours")
 check("city_totals", "SELECT * FROM x_city")
@@ -290,7 +339,7 @@ check(
     f"""SELECT e.month, e.n::BIGINT AS eligible_pickups, coalesce(x, 0)::BIGINT AS exact_duplicate_excess,
     coalesce(g, 0)::BIGINT AS exact_duplicate_groups, coalesce(rr, 0)::BIGINT AS repeated_rows,
     coalesce(m, 1)::BIGINT AS max_copies, coalesce(cells, 0)::BIGINT AS affected_zone_hours
-  FROM (SELECT strftime({local('hour')}, '%Y-%m') AS month, sum(demand) AS n FROM x_counts GROUP BY 1) e
+  FROM (SELECT strftime({local('hour')}, '%Y-%m') AS month, sum(demand) AS n FROM x_doubled_counts GROUP BY 1) e
   LEFT JOIN (SELECT strftime({local('hour')}, '%Y-%m') AS month, sum(duplicate_excess) AS x, sum(duplicate_groups) AS g,
     sum(repeated_rows) AS rr, max(max_copies) AS m, count(*) AS cells FROM x_rollup GROUP BY 1) d ON d.month = e.month""",
 )

@@ -194,6 +194,7 @@ cte(
     sum(abs(demand - p)) AS absolute_error_sum FROM x_long GROUP BY 1, 2, 3""",
 )
 check("daily_scores", f"SELECT {rounded(('mae', 'absolute_error_sum'))} FROM x_daily")
+check("read_daily_errors", f"SELECT fold, date_nyc, model, rows, {r('mae')} AS mae FROM x_daily")
 cte(
     "x_scoped",
     """SELECT 'pooled' AS scope, model, avg(abs(demand - p)) AS mae FROM x_long GROUP BY 2
@@ -353,7 +354,7 @@ check(
     ),
 )
 
-for policy, source in (("recorded", "x_panel"), ("dedup", "x_alt")):
+for policy, source in (("recorded", "x_doubled_panel"), ("dedup", "x_alt")):
     cte(f"x_{policy}_known", f"SELECT * FROM {source} WHERE hour < {SEALED}")
     cte(f"x_{policy}_feat", features_of(f"x_{policy}_known"))
     cte(

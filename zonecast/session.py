@@ -1,6 +1,7 @@
 """Session settings and the one place where lineage is cut."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +25,32 @@ def build_session(app: str = "zonecast", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Materialize through a reliable checkpoint, so a lost executor does not replay the chain.
+_own: dict[str, str] = {}
+
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a folder of its own; on a cluster a missing setting is an error, because a
-    machine-local folder is not visible to the other executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own; on a cluster a missing setting is an
+    error, because a machine-local folder is not visible to the other executors.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a shared folder")
+    return _own.setdefault("folder", tempfile.mkdtemp(prefix="zonecast-"))
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place of its own for a table that one job writes and the next one reads."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """Materialize through a reliable checkpoint, so a lost executor does not replay the chain."""
     spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("Set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="zonecast-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint(eager=True)

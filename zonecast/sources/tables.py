@@ -1,7 +1,11 @@
 """Readers and writers: trips, lookup, panel windows, station files, error tables, exports."""
 
-from pyspark.sql import DataFrame, SparkSession
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonecast.functions.clock import instant, month_text
 from zonecast.functions.tables import finite
@@ -20,22 +24,101 @@ FOLDER_MONTH = r"/(?:file_)?month=(\d{4}-(?:0[1-9]|1[0-2]))(?:-\d{2})?/"
 NAMED_MONTH = r"(?:^|[^0-9])((?:19|20)\d{2}-(?:0[1-9]|1[0-2]))(?:[^0-9]|$)"
 
 
+def file_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema of all files of a path, their footers read by a Spark job; None where types of one column conflict."""
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path).schema
+    except Exception as error:  # Spark names this error differently by reader and version
+        if "MERGE" in str(error).upper():
+            return None
+        raise
+
+
+def path_schemas(spark: SparkSession, paths) -> list[tuple[str, T.StructType]]:
+    """(path, schema) per path; a path whose files conflict is given file by file."""
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(lambda path: file_schema(spark, path), paths))
+    out = []
+    for path, schema in zip(paths, found, strict=True):
+        if schema is not None:
+            out.append((path, schema))
+            continue
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path")
+        out += path_schemas(spark, sorted(row["path"] for row in listed.collect()))
+    return out
+
+
+WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+
+
+def wider(name: str, a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds the values of both: of two whole ones the wider, a double for a fraction and a whole number."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if a in WHOLE and b in WHOLE:
+        return max(a, b, key=WHOLE.index)
+    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+        scale = max(a.scale, b.scale)
+        whole = max(a.precision - a.scale, b.precision - b.scale)
+        if whole + scale <= 38:
+            return T.DecimalType(whole + scale, scale)
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType) and T.DoubleType() in (a, b) or {a, b} <= {T.FloatType(), *WHOLE}:
+        return T.DoubleType()
+    raise ValueError(f"Trip files hold {name} as {a.simpleString()} and as {b.simpleString()}")
+
+
+def common_columns(schemas: list[T.StructType]) -> dict[str, T.StructField]:
+    """Every column of any schema by its lower-case name, as wide as all of them need; the first spelling stays."""
+    common: dict[str, T.StructField] = {}
+    for schema in schemas:
+        for field in schema.fields:
+            held = common.get(field.name.lower())
+            kind = field.dataType if held is None else wider(held.name, held.dataType, field.dataType)
+            common[field.name.lower()] = T.StructField(held.name if held else field.name, kind)
+    return common
+
+
+def read_reconciled(spark: SparkSession, *paths: str, derived: dict[str, Column] | None = None) -> DataFrame:
+    """Parquet files of differing schemas as one table: columns meet by name, a file without one gives NULL.
+
+    Spark alone takes one file's schema, so that a wider type fails and a further column is dropped without a word. Here paths of equal
+    schema are one scan, and the scans, as few as there are schemas, are widened and united; filters and column selection
+    still reach each of them. ``derived`` columns, of ``_metadata`` for example, are computed in each scan.
+    """
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for path, schema in path_schemas(spark, paths):
+        groups.setdefault(schema.json(), (schema, []))[1].append(path)
+    common = common_columns([schema for schema, _ in groups.values()])
+    parts = []
+    for schema, own in groups.values():
+        rows = spark.read.schema(schema).parquet(*own)
+        held = {field.name.lower(): field.name for field in schema.fields}
+        cells = [
+            (F.col(f"`{held[key]}`") if key in held else F.lit(None)).cast(field.dataType).alias(field.name)
+            for key, field in common.items()
+        ]
+        parts.append(rows.select(*cells, *[column.alias(name) for name, column in (derived or {}).items()]))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def read_trips(spark: SparkSession, *paths: str, month_pattern: str | None = NAMED_MONTH) -> DataFrame:
-    """Monthly trip files as one table with ``file_month``.
+    """Monthly trip files, whose schemas may differ, as one table with ``file_month``.
 
     The month stands in a ``month=`` folder or, delimited, in the file's own name; for the part files that Spark
     writes, whose names hold other numbers, it stands in the name of their folder. A file without a month
     is an error, because its rows could not be told from misfiled ones. With ``month_pattern`` None there is
     no such column and no check.
     """
-    trips = spark.read.parquet(*paths)
     if month_pattern is None:
-        return trips
+        return read_reconciled(spark, *paths)
     found = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
     path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
     own = F.when(name.startswith("part-"), F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)).otherwise(name)
     missing = F.raise_error(F.concat(F.lit("No month in the name of trip file "), path)).cast("string")
-    return trips.withColumn("file_month", F.coalesce(found(path, FOLDER_MONTH), found(own, month_pattern), missing))
+    month = F.coalesce(found(path, FOLDER_MONTH), found(own, month_pattern), missing)
+    return read_reconciled(spark, *paths, derived={"file_month": month})
 
 
 def trips_of_months(trips: DataFrame, start: str, end: str) -> DataFrame:
