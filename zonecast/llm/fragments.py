@@ -7,7 +7,6 @@ fragment is cut into pre-tokens and, inside them, at every pair that no token ho
 on their own and their ids concatenated.
 """
 
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -18,15 +17,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from zonecast.llm.merges import MergeTable, byte_names
+
 BLANK = frozenset(b" \t\n\v\f\r")
 QUOTE = ord("'")
 ENCODED = "doc_id long, n_tokens long, ids binary"
 DECODED = "doc_id long, n_tokens long, ids binary, text string"
 SLICE_BYTES = 1 << 21
-# Pieces up to this many bytes are merged side by side.
-SHORT = 32
-NONE = np.iinfo(np.int32).max
-SLOTS = 1 << 20
 # The pattern of byte-level files that use one.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _opened: dict[str, "ByteBpe"] = {}
@@ -39,13 +36,6 @@ def opened(path: str) -> "ByteBpe":
     return _opened[path]
 
 
-def byte_names() -> dict[str, int]:
-    """The printable character that stands for each byte in a byte-level vocabulary file."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = sorted(set(range(256)) - set(plain))
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def kind(byte: int) -> str:
     """Which run of the pre-token pattern an ASCII byte belongs to; bytes of longer characters are told apart by the pattern alone."""
     if byte >= 128:
@@ -84,12 +74,9 @@ class ByteBpe:
         self.library_pre_tokens = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.names = names
         self.tokens = {i: bytes(names[c] for c in token) for token, i in model["vocab"].items()}
-        self.byte_ids = {token[0]: i for i, token in self.tokens.items() if len(token) == 1}
         vocab = model["vocab"]
-        self.merges = {}
-        for rank, merge in enumerate(model["merges"]):
-            left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        self.id_of_byte = np.array([vocab[name] for name, _ in sorted(names.items(), key=lambda item: item[1])], dtype=np.int32)
+        self.merges = MergeTable(vocab, model["merges"])
         inside = np.zeros((256, 256), dtype=bool)
         for token in self.tokens.values():
             pairs = np.frombuffer(token, np.uint8)
@@ -102,7 +89,6 @@ class ByteBpe:
         self.tokens |= {i: content for content, i in added.items()}
         self.limit, self.longest = fragments, longest
         self.known: dict[bytes, bytes] = {}
-        self._index_merges()
         self._index_tokens()
 
     @staticmethod
@@ -187,109 +173,12 @@ class ByteBpe:
         return [bytes(map(names.__getitem__, shown)) for shown, _ in self.library_pre_tokens(fragment.decode())]
 
     def merged_all(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each piece: short pieces of like length are merged side by side, one merge of each a round; long ones by a heap."""
-        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-        out = {}
-        for low, high in ((0, 6), (6, 9), (9, 12), (12, 18), (18, SHORT)):
-            some = [pieces[i] for i in np.flatnonzero((sizes > low) & (sizes <= high)).tolist()]
-            if some:
-                out |= zip(some, self._merged_rows(some, high), strict=True)
-        for i in np.flatnonzero(sizes > SHORT).tolist():
-            out[pieces[i]] = np.array(self.merged(pieces[i]), "<u4").tobytes()
-        return out
-
-    def _merged_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
-        """Pieces as rows of symbols, with the rank of each pair of neighbours; a round merges every row's leftmost pair of least rank."""
-        n = len(pieces)
-        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
-        lengths = np.array([len(p) for p in pieces])
-        columns = np.arange(width)
-        ids = np.where(columns < lengths[:, None], self.id_of_byte[raw], -1).astype(np.int32)
-        ranks = np.full((n, width), NONE, dtype=np.int32)
-        ranks[:, :-1] = np.where(columns[1:] < lengths[:, None], self.rank_of_bytes[raw[:, :-1], raw[:, 1:]], NONE)
-        done, open_rows = np.full((n, width), -1, dtype=np.int32), np.arange(n)
-        while len(open_rows):
-            rows = np.arange(len(open_rows))
-            at = ranks.argmin(axis=1)
-            least = ranks[rows, at]
-            ended = least == NONE
-            if ended.any():
-                done[open_rows[ended]] = ids[ended]
-                go = ~ended
-                open_rows, ids, ranks, at, least = open_rows[go], ids[go], ranks[go], at[go], least[go]
-                rows = np.arange(len(open_rows))
-            new = self.made_by[least]
-            right = columns[:-1] > at[:, None]
-            ids[:, :-1] = np.where(right, ids[:, 1:], ids[:, :-1])
-            ids[:, -1] = -1
-            ids[rows, at] = new
-            right |= columns[:-1] == at[:, None]
-            ranks[:, :-1] = np.where(right, ranks[:, 1:], ranks[:, :-1])
-            left, after = np.maximum(at - 1, 0), np.minimum(at + 1, width - 1)
-            ranks[rows, at] = self.ranks_of(new, ids[rows, after])
-            before = self.ranks_of(ids[rows, left], new)
-            some = at > 0
-            ranks[rows[some], left[some]] = before[some]
-        held = done >= 0
-        data, ends = done[held].astype("<u4").tobytes(), (4 * np.cumsum(held.sum(axis=1))).tolist()
-        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of pairs of ids, NONE for those that do not merge: the pairs' slots, then the next ones while a slot holds another pair."""
-        keys = (left.astype(np.int64) << 32) | right.astype(np.int64) & 0xFFFFFFFF
-        slot = slots(keys)
-        out = np.full(len(keys), NONE, dtype=np.int32)
-        for _ in range(self.probes):
-            hit = self.slot_keys[slot] == keys
-            out[hit] = self.slot_ranks[slot[hit]]
-            slot = (slot + 1) & (SLOTS - 1)
-        return out
-
-    def _index_merges(self) -> None:
-        """Merges as arrays: by rank what they make, by bytes, and by a hash of the pair of ids."""
-        pairs = np.array(list(self.merges), dtype=np.int64).reshape(-1, 2)
-        rank, made = np.array(list(self.merges.values()), dtype=np.int64).reshape(-1, 2).T
-        self.made_by = np.zeros(max(rank, default=0) + 1, dtype=np.int32)
-        self.made_by[rank] = made
-        self.id_of_byte = np.array([self.byte_ids[b] for b in range(256)], dtype=np.int32)
-        self.rank_of_bytes = np.full((256, 256), NONE, dtype=np.int32)
-        byte_of = {i: b for b, i in self.byte_ids.items()}
-        for (left, right), (r, _) in self.merges.items():
-            if left in byte_of and right in byte_of:
-                self.rank_of_bytes[byte_of[left], byte_of[right]] = r
-        keys = (pairs[:, 0] << 32) | pairs[:, 1]
-        self.slot_keys, self.slot_ranks = np.full(SLOTS, -1, dtype=np.int64), np.full(SLOTS, NONE, dtype=np.int32)
-        self.probes = 1
-        for key, slot, r in zip(keys.tolist(), slots(keys).tolist(), rank.tolist(), strict=True):
-            probes = 1
-            while self.slot_keys[slot] >= 0:
-                slot, probes = (slot + 1) & (SLOTS - 1), probes + 1
-            self.slot_keys[slot], self.slot_ranks[slot] = key, r
-            self.probes = max(self.probes, probes)
+        """Ids of each piece."""
+        return dict(zip(pieces, self.merges.ids_of_all(pieces, self.id_of_byte, self.id_of_byte), strict=True))
 
     def merged(self, piece: bytes) -> list[int]:
-        """Merges of least rank first, of equal ones the leftmost: a heap over a linked list of symbols."""
-        merges = self.merges
-        ids = [self.byte_ids[b] for b in piece]
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*merges[pair], i, pair) for i, pair in enumerate(zip(ids[:-1], ids[1:], strict=True)) if pair in merges]
-        heapq.heapify(heap)
-        while heap:
-            _, new, i, pair = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else n
-            if j >= n or (ids[i], ids[j]) != pair:
-                continue
-            ids[i], ids[j] = new, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (new, ids[k]) in merges:
-                    heapq.heappush(heap, (*merges[new, ids[k]], i, (new, ids[k])))
-            h = before[i]
-            if h >= 0 and (ids[h], new) in merges:
-                heapq.heappush(heap, (*merges[ids[h], new], h, (ids[h], new)))
-        return [i for i in ids if i >= 0]
+        """Ids of one piece of any length."""
+        return self.merges.merged([int(self.id_of_byte[b]) for b in piece])
 
     # --- decoding ---
 
@@ -312,10 +201,6 @@ class ByteBpe:
         self.token_bytes = np.frombuffer(b"".join(held), np.uint8)
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-
-
 def sliced(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Slices (begin, end) of rows of about ``most`` bytes, one row at least."""
     total = np.concatenate([[0], np.cumsum(sizes)])

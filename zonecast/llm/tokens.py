@@ -5,13 +5,18 @@ parts between blanks, one after the other. Parts repeat, hence each worker encod
 keeps its ids. Ids stay little-endian unsigned 32-bit bytes throughout.
 """
 
+import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 
+from zonecast.llm.merges import MergeTable, byte_names
+
 PUNCTUATION = ".,;:!?"
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 _opened: dict[str, "WordIds"] = {}
 
 
@@ -32,7 +37,7 @@ def release() -> None:
 class WordIds:
     """``parts`` and ``pieces`` bound the two caches; a full cache starts anew, ids stay the same."""
 
-    def __init__(self, path: str, parts: int = 400_000, pieces: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, parts: int = 800_000, pieces: int = 1_000_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,8 +45,11 @@ class WordIds:
         self.parts, self.pieces, self.longest = parts, pieces, longest
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
-        mark = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        model = json.loads(self.tokenizer.to_str())["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        self.merges = MergeTable(vocab, model["merges"])
+        names = [name for name, _ in sorted(byte_names().items(), key=lambda item: item[1])]
+        self.inner, self.last = (np.array([vocab[name + end] for name in names], dtype=np.int32) for end in ("", suffix))
 
     def ids(self, text: str | None) -> bytes:
         """All ids of one text; nothing for a null or empty one."""
@@ -49,53 +57,49 @@ class WordIds:
 
     def ids_of(self, texts: list[str | None], together: int = 256) -> Iterator[bytes]:
         """The ids of each text in turn. Parts not met before are encoded for ``together`` texts at once."""
+        known = self.known
         for at in range(0, len(texts), together):
             cut = [text.replace("\n", " ").split(" ") if text else [] for text in texts[at : at + together]]
-            if len(self.known) > self.parts:
-                self.known.clear()
+            if len(known) > self.parts:
+                known.clear()
             if len(self.cores) > self.pieces:
                 self.cores.clear()
-            self._learn({part for parts in cut for part in parts if part not in self.known})
-            known = self.known
-            yield from [b"".join([known[part] for part in parts]) for parts in cut]
-            for part in {part for parts in cut for part in parts if len(part) > self.longest}:
-                del known[part]
+            new = set().union(*cut).difference(known)
+            self._learn(new)
+            yield from [b"".join(map(known.__getitem__, parts)) for parts in cut]
+            # Long parts are never kept, so each of them is among the new ones.
+            for part in new:
+                if len(part) > self.longest:
+                    del known[part]
 
     def _learn(self, new: set[str]) -> None:
-        split = {part: self._split(part) for part in new}
-        cores = self.cores
-        self._encode({piece for pieces in split.values() for piece in pieces if piece not in cores})
-        for part, pieces in split.items():
-            self.known[part] = cores[pieces[0]] if len(pieces) == 1 else cores[pieces[0]] + cores[pieces[1]]
+        cores, split, wanted = self.cores, [], set()
+        for part in new:
+            text = part.lower() if part.isascii() and "<|" not in part else part
+            core = text.rstrip(PUNCTUATION)
+            tail = text[len(core) :]
+            if not core or not tail or not self._letter(core[-1]):
+                core, tail = text, ""
+            split.append((part, core, tail))
+            wanted.add(core)
+            wanted.add(tail)
+        self._encode({piece for piece in wanted.difference(cores) if piece})
+        cores[""] = b""
+        self.known.update([(part, cores[core] + cores[tail]) for part, core, tail in split])
         # Other parts may share the core of a long one, so cores go only when all parts have theirs.
-        for part, pieces in split.items():
+        for part, core, _ in split:
             if len(part) > self.longest:
-                cores.pop(pieces[0], None)
+                cores.pop(core, None)
 
     @staticmethod
-    def _split(part: str) -> tuple[str, ...]:
+    def _letter(last: str) -> bool:
         """Letters end a pre-token before a tail of punctuation, and case is folded for plain letters."""
-        part = part.lower() if part.isascii() and "<|" not in part else part
-        core = part.rstrip(PUNCTUATION)
-        if core and len(core) < len(part) and unicodedata.normalize("NFC", core[-1]).lower()[-1].isalpha():
-            return core, part[len(core) :]
-        return (part,)
+        return last.isalpha() if last.isascii() else unicodedata.normalize("NFC", last).lower()[-1].isalpha()
 
     def _encode(self, pieces: set[str]) -> None:
-        """Purely alphabetic pieces share a call, kept apart by a digit that none of them can yield."""
-        plain = [p for p in pieces if self.mark is not None and p.isalpha()]
-        rest = [p for p in pieces if self.mark is None or not p.isalpha()]
-        groups = [plain[at : at + 16] for at in range(0, len(plain), 16)]
-        joined = [" 0 ".join(group) for group in groups]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            if len(cuts) != len(group) - 1:
-                rest += group
-                continue
-            data, begin = ids.tobytes(), 0
-            for piece, end in zip(group, [*cuts, len(ids)], strict=True):
-                self.cores[piece] = data[4 * begin : 4 * end]
-                begin = end + 1
+        """Lower-case letters up to U+00FF are one pre-token and stay as they are, so only merges are left; the rest is the library's."""
+        words = [p for p in pieces if PLAIN(p)]
+        self.cores.update(zip(words, self.merges.ids_of_all([w.encode() for w in words], self.inner, self.last), strict=True))
+        rest = list(pieces.difference(words))
         for piece, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.cores[piece] = np.array(got.ids, dtype="<u4").tobytes()
