@@ -5,13 +5,15 @@ from pyspark.sql import functions as F
 from zonecast import bindings as b
 from zonecast.catalog.panel import DEV_STOP
 from zonecast.catalog.registry import query
-from zonecast.operators import folds, forecasts, models, peers, temporal
-from zonecast.operators.scores import pooled_scores
+from zonecast.operators import folds, forecasts, models, peers, regressions, temporal
+from zonecast.operators.scores import fold_scores, pooled_scores
+from zonecast.session import cut_lineage
 from zonecast.settings import BASELINES
 
 FOLDS = folds.study_folds(b.START, b.BOUNDARIES, b.SEALED)
 WARMUP, EMBARGO = 174, 6
 KEYS = ["zone_id", "hour", "demand"]
+FITTED = [name for name, _, _ in regressions.STUDY_CANDIDATES]
 
 
 def development(spark, sf):
@@ -140,14 +142,28 @@ def report(rows, fits):
     return models.fit_report(rows, models.fit_folds(rows, FOLDS, fits))
 
 
+def regression_report(spark, sf, place):
+    """A regression's contract on all folds, its error in validation and the breach of its normal equations."""
+    candidate = regressions.STUDY_CANDIDATES[place]
+    rows = cut_lineage(temporal.drop_warmup(features(spark, sf)))
+    split = folds.assign_folds(rows, FOLDS, WARMUP, EMBARGO)
+    made = regressions.fit_regressions(rows, FOLDS, [candidate], WARMUP, EMBARGO)
+    name = candidate[0]
+    predicted = made.predictions(split)
+    long = predicted.select(F.lit(name).alias("model"), "fold", "role", "zone_id", "hour", F.col(name).alias("prediction"))
+    errors = fold_scores(predicted.where("role = 'validation'"), [name]).select("model", "fold", "mae", "rmse", "r2")
+    proof = made.certificate(split).drop("train_rows")
+    return models.fit_report(split, long).join(errors, ["model", "fold"]).join(proof, ["model", "fold"])
+
+
 @query
 def linear_model(spark, sf):
-    return report(assigned(spark, sf), {"linear_regression": models.fit_linear})
+    return regression_report(spark, sf, 0)
 
 
 @query
 def ridge_model(spark, sf):
-    return report(assigned(spark, sf), {"ridge": models.fit_ridge})
+    return regression_report(spark, sf, 1)
 
 
 @query
@@ -179,12 +195,26 @@ def borough_models(spark, sf):
     return report(folds.assign_folds(ready, FOLDS, WARMUP, EMBARGO), models.bundle_fits(bundles))
 
 
+def scored_with_proof(table, proofs, names, extra=()):
+    """Pooled scores of all models, and for the fitted ones the largest breach of their normal equations."""
+    worst = proofs.groupBy(*extra, "model").agg(F.max("breach").alias("breach"))
+    return pooled_scores(table, names, extra).drop("smape_pct").join(worst, [*extra, "model"], "left")
+
+
 @query
 def fitted_walk_forward(spark, sf):
-    """All folds with two fitted models beside the baselines: errors of a wide table that must be complete."""
-    fitted = {"linear_regression": models.linear_model, "ridge": models.ridge_model}
-    table = forecasts.walk_forward(
-        development(spark, sf), FOLDS, fitted, WARMUP, EMBARGO, b.SPARSE_MAX
-    )
-    scores = pooled_scores(table, [*BASELINES, *fitted])
-    return scores.select("model", F.col("mae").isNotNull().alias("scored"))
+    """All folds with two fitted models beside the baselines, scored over all validation rows."""
+    rows = cut_lineage(features(spark, sf))
+    predicted, proofs = regressions.regression_study(temporal.drop_warmup(rows), FOLDS, None, WARMUP, EMBARGO)
+    table = forecasts.baseline_table(rows, FOLDS, WARMUP, EMBARGO, b.SPARSE_MAX)
+    wide = table.join(predicted.select("fold", "zone_id", "hour", *FITTED), ["fold", "zone_id", "hour"], "left")
+    return scored_with_proof(wide, proofs, [*BASELINES, *FITTED])
+
+
+@query
+def fitted_delay_study(spark, sf):
+    """Both regressions under every observation delay, all folds and delays fitted from the same scans."""
+    made = temporal.cyclic(temporal.local_calendar(temporal.delayed_features(development(spark, sf))))
+    rows = cut_lineage(temporal.drop_warmup(made))
+    predicted, proofs = regressions.regression_study(rows, FOLDS, None, WARMUP, EMBARGO, ["delay_hours"])
+    return scored_with_proof(predicted, proofs, FITTED, ["delay_hours"])
