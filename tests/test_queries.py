@@ -15,7 +15,7 @@ def duck():
 
 
 # Up to 18 fits of 120 rounds each; test_study.py has the same contract with few rounds.
-LONG_FITS = {"boosted_model", "boosted_absolute", "depth_grid", "borough_models", "weather_models"}
+LONG_FITS = {"poisson_model", "boosted_model", "boosted_absolute", "depth_grid", "borough_models", "weather_models"}
 
 
 @pytest.mark.parametrize("name", sorted((set(entry.oracle_sql()) & set(QUERIES)) - LONG_FITS))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import START, checks, panel
-from zonecast.operators import contracts, folds, forecasts, models, resample, scores, temporal
+from zonecast.operators import contracts, folds, forecasts, models, regressions, resample, scores, temporal
 from zonecast.settings import BASELINES, NUMERIC_FEATURES
 
 ZONES = (2, 3)
@@ -244,7 +244,7 @@ def test_boosting_contract(spark):
 
 def test_fits_of_all_folds_keep_their_contract(spark):
     assigned = folds.assign_folds(temporal.drop_warmup(temporal.make_features(study_panel(spark))), FOLDS, 168, 0)
-    fits = {"linear": models.fit_linear, "poisson": models.fit_poisson, **models.depth_fits((2, 3), rounds=5)}
+    fits = {"linear": models.fit_linear, "poisson": models.Boosting(loss="poisson", options={"rounds": 8, "rate": 0.3}), **models.depth_fits((2, 3), rounds=5)}
     fits |= models.bundle_fits({"more": []}, rounds=3)
     made = models.fit_report(assigned, models.fit_folds(assigned, FOLDS, fits)).collect()
     assert {(r.model, r.fold) for r in made} == {(m, f.name) for m in fits for f in FOLDS}
@@ -288,7 +288,7 @@ def test_five_thousand_zones_equal_the_closed_form(spark):
 def test_unseen_zone_gets_the_common_level(spark):
     rows, zone, x, y = many_zones(spark, zones=40, rows=30)
     train, unseen = rows.where("zone_id > 0"), rows.where("zone_id = 0")
-    for fit in (models.linear_model, models.ridge_model, models.poisson_model):
+    for fit in (models.linear_model, models.ridge_model, models.loglinear_model):
         got = np.array([r.prediction for r in fit(train, unseen, ["lag_3", "lag_24"]).collect()])
         assert len(got) == 30 and abs(got.mean() - y[zone > 0].mean()) < 8
 
@@ -328,3 +328,45 @@ def test_r2_is_null_without_spread(spark):
     frame = spark.createDataFrame([("a", 2.0, 1.0), ("a", 2.0, 3.0), ("b", 5.0, 1.0)], "fold string, demand double, m double")
     got = {r["scope"]: r["r2"] for r in scores.all_scores(frame, ["m"]).collect()}
     assert got["a"] is None and got["b"] is None and got["pooled"] is not None
+
+
+def test_fold_regressions_equal_the_single_fits(spark):
+    rows = temporal.drop_warmup(temporal.make_features(study_panel(spark)))
+    made, proofs = regressions.regression_study(rows, FOLDS, None, 168, 3)
+    assigned = folds.assign_folds(rows, FOLDS, 168, 3)
+    for fold in FOLDS:
+        mine = assigned.where(F.col("fold") == fold.name)
+        train, valid = mine.where("role = 'train'"), mine.where("role = 'validation'")
+        got = made.where(F.col("fold") == fold.name).orderBy("zone_id", "hour").toPandas()
+        assert got["linear_regression"].to_numpy() == pytest.approx(predicted(models.linear_model(train, valid)), abs=1e-6)
+        assert got["ridge"].to_numpy() == pytest.approx(predicted(models.ridge_model(train, valid)), abs=1e-6)
+    held = proofs.collect()
+    assert len(held) == 2 * len(FOLDS) and all(r["breach"] < 1e-9 for r in held)
+    assert [r["train_rows"] for r in held if r["model"] == "ridge"] == [
+        assigned.where((F.col("fold") == r["fold"]) & (F.col("role") == "train")).count() for r in held if r["model"] == "ridge"
+    ]
+
+
+def test_certificates_see_other_coefficients(spark):
+    rows = temporal.drop_warmup(temporal.make_features(study_panel(spark)))
+    fit = regressions.fit_regressions(rows, FOLDS, [("ridge", ["lag_1", "lag_24"], 10.0)], 168, 3)
+    assigned = folds.assign_folds(rows, FOLDS, 168, 3)
+    fit.solutions = fit.solutions.withColumn("m0_slopes", F.transform("m0_slopes", lambda s: s * 1.05))
+    assert all(r["breach"] > 1e-4 for r in fit.certificate(assigned).collect())
+
+
+def test_delays_are_fitted_apart(spark):
+    made = temporal.cyclic(temporal.local_calendar(temporal.delayed_features(study_panel(spark), (0, 3))))
+    rows = temporal.drop_warmup(made)
+    both, _ = regressions.regression_study(rows, FOLDS, None, 174, 6, ["delay_hours"])
+    late, _ = regressions.regression_study(rows.where("delay_hours = 3").drop("delay_hours"), FOLDS, None, 174, 6)
+    key = ["fold", "zone_id", "hour"]
+    x, y = (t.orderBy(*key).toPandas()["ridge"].to_numpy() for t in (both.where("delay_hours = 3"), late))
+    assert x == pytest.approx(y, abs=1e-9)
+
+
+def test_folds_that_do_not_expand_are_refused(spark):
+    rows = temporal.drop_warmup(temporal.make_features(study_panel(spark)))
+    other = [FOLDS[0], folds.Fold("x", FOLDS[0].validation_start, FOLDS[1].validation_start, FOLDS[1].validation_end)]
+    with pytest.raises(ValueError, match="one training start"):
+        regressions.fit_regressions(rows, other)

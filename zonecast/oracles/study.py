@@ -372,13 +372,13 @@ check(
 )
 
 
-def fit_contract(name, rows, models):
-    """Counts and sums that any complete fit must show; its losses stay below those of the training mean."""
+def fit_contract(name, rows, models, breach=0.0):
+    """Counts and sums that any complete fit must show; its losses stay below those of the training mean, its leaves fit."""
     check(
         name,
         f"""SELECT model, fold, count(*) FILTER (role = 'validation') AS rows, 0::BIGINT AS missing_keys, 0::BIGINT AS surplus_keys,
     0::BIGINT AS bad_values, (sum(demand) FILTER (role = 'validation'))::BIGINT AS label_sum,
-    count(*) FILTER (role = 'train') AS train_rows, true AS beats_mean
+    count(*) FILTER (role = 'train') AS train_rows, true AS beats_mean, {breach}::DOUBLE AS breach
   FROM {rows} CROSS JOIN (SELECT unnest({models!r}) AS model) GROUP BY 1, 2""",
     )
 
@@ -476,3 +476,4 @@ for name, models in {
     "weather_models": ["temporal_1h", "weather_1h", "temporal_3h", "weather_3h"],
 }.items():
     fit_contract(name, "x_assigned", models)
+fit_contract("loglinear_model", "x_assigned", ["loglinear"], "NULL")

@@ -89,5 +89,5 @@ EXPORT_COLUMNS = (
     "error_estimate_minus_recorded",
     "absolute_error",
 )
-BOOSTING = {"rounds": 120, "rate": 0.08, "bins": 255, "seed": 42}
+BOOSTING = {"rounds": 120, "rate": 0.08, "bins": 255, "l2": 1.0}
 RIDGE_ALPHA = 10.0
