@@ -190,13 +190,14 @@ def test_daily_defects(spark, name, change):
     assert checks(contracts.check_daily_errors(change(daily), weights, by_fold, pooled, names))[name] > 0
 
 
+def random_panel(spark):
+    """Random counts, so that the features are independent and the solution is unique."""
+    draw = np.random.default_rng(5).poisson(8, (2, 14 * 24)).tolist()
+    return panel(spark, 14 * 24, ZONES, lambda z, i: draw[z - 2][i], start=folds.utc_midnight("2026-01-01"))
+
+
 def model_frame(spark, regular=True):
-    rows = study_panel(spark)
-    if regular:
-        # Random counts, so that the features are independent and the solution is unique.
-        draw = np.random.default_rng(5).poisson(8, (2, 14 * 24)).tolist()
-        begin = folds.utc_midnight("2026-01-01")
-        rows = panel(spark, 14 * 24, ZONES, lambda z, i: draw[z - 2][i], start=begin)
+    rows = random_panel(spark) if regular else study_panel(spark)
     made = temporal.drop_warmup(temporal.make_features(rows))
     cut = F.lit(str(FOLDS[-1].validation_start)).cast("timestamp_ntz")
     return made.where(F.col("hour") < cut), made.where(F.col("hour") >= cut)
@@ -331,10 +332,11 @@ def test_r2_is_null_without_spread(spark):
 
 
 def test_fold_regressions_equal_the_single_fits(spark):
-    rows = temporal.drop_warmup(temporal.make_features(study_panel(spark)))
+    rows = temporal.drop_warmup(temporal.make_features(random_panel(spark)))
     made, proofs = regressions.regression_study(rows, FOLDS, None, 168, 3)
     assigned = folds.assign_folds(rows, FOLDS, 168, 3)
-    for fold in FOLDS:
+    # The first fold trains on two days, which hold too few weekdays for one solution.
+    for fold in FOLDS[1:]:
         mine = assigned.where(F.col("fold") == fold.name)
         train, valid = mine.where("role = 'train'"), mine.where("role = 'validation'")
         got = made.where(F.col("fold") == fold.name).orderBy("zone_id", "hour").toPandas()
@@ -348,7 +350,7 @@ def test_fold_regressions_equal_the_single_fits(spark):
 
 
 def test_certificates_see_other_coefficients(spark):
-    rows = temporal.drop_warmup(temporal.make_features(study_panel(spark)))
+    rows = temporal.drop_warmup(temporal.make_features(random_panel(spark)))
     fit = regressions.fit_regressions(rows, FOLDS, [("ridge", ["lag_1", "lag_24"], 10.0)], 168, 3)
     assigned = folds.assign_folds(rows, FOLDS, 168, 3)
     fit.solutions = fit.solutions.withColumn("m0_slopes", F.transform("m0_slopes", lambda s: s * 1.05))
@@ -356,7 +358,7 @@ def test_certificates_see_other_coefficients(spark):
 
 
 def test_delays_are_fitted_apart(spark):
-    made = temporal.cyclic(temporal.local_calendar(temporal.delayed_features(study_panel(spark), (0, 3))))
+    made = temporal.cyclic(temporal.local_calendar(temporal.delayed_features(random_panel(spark), (0, 3))))
     rows = temporal.drop_warmup(made)
     both, _ = regressions.regression_study(rows, FOLDS, None, 174, 6, ["delay_hours"])
     late, _ = regressions.regression_study(rows.where("delay_hours = 3").drop("delay_hours"), FOLDS, None, 174, 6)
@@ -366,7 +368,7 @@ def test_delays_are_fitted_apart(spark):
 
 
 def test_folds_that_do_not_expand_are_refused(spark):
-    rows = temporal.drop_warmup(temporal.make_features(study_panel(spark)))
+    rows = temporal.drop_warmup(temporal.make_features(random_panel(spark)))
     other = [FOLDS[0], folds.Fold("x", FOLDS[0].validation_start, FOLDS[1].validation_start, FOLDS[1].validation_end)]
     with pytest.raises(ValueError, match="one training start"):
         regressions.fit_regressions(rows, other)
