@@ -455,3 +455,35 @@ def test_sha_of_kept_words(frame):
     want = hashlib.sha256(b"a b c").hexdigest()
     got = phrases.drop_repeats(frame([text])).select(F.sha2(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), 256)).first()[0]
     assert got == want
+
+
+# --- names of other columns -----------------------------------------------------------------------
+
+CLASHING = ["_row", "_size", "_taken", "_copy", "_block", "shard", "slot", "_range", "_base", "_END", "_row_kept"]
+
+
+def clashing(spark, texts):
+    rows = [(i, t, "en", f"s{i % 2}", 1, *[100 * i + k for k in range(len(CLASHING))]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHING))
+
+
+@pytest.mark.parametrize("stage", ["near-dedup", "substring dedup", "source mix"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    docs = clashing(spark, [prose(rng, 40) for _ in range(12)])
+    made = dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+    assert made.columns == docs.columns
+    for r in made.collect():
+        assert [r[c] for c in CLASHING] == [100 * r["doc_id"] + k for k in range(len(CLASHING))]
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    rng = random.Random(13)
+    docs = clashing(spark, [prose(rng, 40) for _ in range(12)])
+    made = shards.shard(shards.digest(docs).join(docs.drop("text", "lang", "source", "n_chars", "shard", "slot"), "doc_id"), 3)
+    kept = [c for c in CLASHING if c not in ("shard", "slot")]
+    assert made.columns.count("slot") == 1 and made.columns.count("shard") == 1
+    for r in made.collect():
+        assert [r[c] for c in kept] == [100 * r["doc_id"] + CLASHING.index(c) for c in kept] and r["shard"] in (0, 1, 2)

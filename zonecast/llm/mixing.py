@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonecast.llm.store import saved
+from zonecast.llm.store import aside, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -83,8 +83,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     """The mix itself, in the columns of ``docs``: a document taken twice is two rows, one not taken is gone.
 
     A document whose words are taken in part ends at its last word taken. Decisions meet their rows by a key of the row that
-    is made once in a written table, so rows without an id and rows that share one are taken like all others.
+    is made once in a written table, so rows without an id and rows that share one are taken like all others. Other columns stay,
+    whatever their names.
     """
+    docs, back = aside(docs, ("_row", "_size", "_taken", "_copy"))
     docs, columns = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows"), docs.columns
     taken = decided(docs, ("_row",), weights, most, seed).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     copies = F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1)
@@ -92,4 +94,4 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     words = F.col("_taken") - F.col("_copy") * F.col("_size")
     kept = F.slice(F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), words.cast("int"))
     text = F.when(words < F.col("_size"), F.concat_ws("", kept)).otherwise(F.col("text"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns])
+    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns]).withColumnsRenamed(back)

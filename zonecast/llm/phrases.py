@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonecast.llm.store import blocks_for
+from zonecast.llm.store import aside, blocks_for
 from zonecast.llm.tokens import release
 from zonecast.llm.words import mixed, runs, together, words_of
 
@@ -191,8 +191,9 @@ def drop_repeats(docs: DataFrame, phrase: int = PHRASE, block_bytes: int = BLOCK
     ``doc_id``; windows are those of the input. A text that loses words becomes its other words joined by one
     blank; every other text stays as it is. Null, empty and short texts stay, as do those of a null id, which is
     never smaller either; rows that share an id do not repeat each other; an empty table gives an empty one.
-    Other columns stay, except older ``n_words`` and ``n_removed``.
+    Other columns stay, whatever their names, except older ``n_words`` and ``n_removed``.
     """
+    docs, back = aside(docs, ("_block",))
     blocks = blocks_for(docs, "text", block_bytes)
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
@@ -240,4 +241,4 @@ def drop_repeats(docs: DataFrame, phrase: int = PHRASE, block_bytes: int = BLOCK
     found = by_block.applyInArrow(anchors, MESSAGE).groupBy("_bucket").applyInArrow(recurring, REPLY)
     first = by_block.cogroup(found.groupBy("_block")).applyInArrow(confirmed, MESSAGE).groupBy("_bucket").applyInArrow(answers, REPLY)
     schema = T.StructType([*[f for f in table.schema if f.name != "_block"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return by_block.cogroup(first.groupBy("_block")).applyInArrow(cleaned, schema)
+    return by_block.cogroup(first.groupBy("_block")).applyInArrow(cleaned, schema).withColumnsRenamed(back)

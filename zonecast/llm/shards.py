@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonecast.llm.store import saved
+from zonecast.llm.store import aside, saved
 
 RANGE_ROWS = 200_000
 MOST_RANGES = 16_384
@@ -79,14 +79,19 @@ def draw(rows: DataFrame, total: int, wanted: int, salt: int) -> pd.DataFrame:
     return rows.where(chance < share).select("grp", "sub", F.greatest(share, F.lit(1.0)).alias("weight")).toPandas()
 
 
+# Names of the columns that rows hold while they are placed.
+OWN = ("_range", "_end", "_row", "_held", "_from", "_base", "_first", "_place", "_start")
+
+
 def shard(keyed: DataFrame, shards: int) -> DataFrame:
     """Adds ``shard`` (from 0) and ``slot`` (gapless from 0 within a shard) to rows of ``doc_id, size, grp, sub``.
 
     Shards follow the order of (group, sub-key, id) and are cut at equal sums of ``size``. A group of up to
     ``WHOLE_GROUP`` of a shard stays whole, so a shard misses its share by that and a row's size at most; a
     larger group is cut between its rows. Null ids are keys like others; like rows may change places; an empty
-    table gives no rows. Columns besides these stay as they are.
+    table gives no rows. Other columns stay, whatever their names, except older ``shard`` and ``slot``.
     """
+    keyed, back = aside(keyed.drop("shard", "slot"), OWN)
     rows = saved(keyed, "shard-keys")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = int(min(MOST_RANGES, max(shards * 8, n // RANGE_ROWS)))
@@ -138,4 +143,4 @@ def shard(keyed: DataFrame, shards: int) -> DataFrame:
     first = placed.groupBy("shard").agg(F.min("_place").alias("_start"))
     return placed.join(F.broadcast(first), "shard").select(
         *[F.col(c) for c in keyed.columns], "shard", (F.col("_place") - F.col("_start")).alias("slot")
-    )
+    ).withColumnsRenamed(back)

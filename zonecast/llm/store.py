@@ -38,3 +38,16 @@ def blocks_for(frame: DataFrame, text: str, block_bytes: int) -> int:
     """How many blocks of about ``block_bytes`` of text a table makes, as many as shuffle partitions at least."""
     held = frame.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     return max(shuffle_width(frame.sparkSession), -(-held // block_bytes))
+
+
+def aside(frame: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns out of the way of an operator's ``own`` names, and how to rename them back."""
+    taken, back = {name.lower() for name in (*own, *frame.columns)}, {}
+    for name in frame.columns:
+        if name.lower() in own:
+            free = f"{name}_kept"
+            while free.lower() in taken:
+                free += "_"
+            taken.add(free.lower())
+            back[free] = name
+    return frame.withColumnsRenamed({name: free for free, name in back.items()}), back
