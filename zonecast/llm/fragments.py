@@ -52,7 +52,7 @@ class ByteBpe:
     otherwise and are refused.
     """
 
-    def __init__(self, path: str, fragments: int = 800_000, longest: int = 48):
+    def __init__(self, path: str, fragments: int = 400_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
