@@ -20,6 +20,7 @@ LINES = 48
 WINDOW = 0.5
 MISS = 1e-6
 TILE = 4096
+VERIFIED = 1 << 15
 SEED = 20
 
 
@@ -61,14 +62,18 @@ def linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
     pa_, pb, needed = ua @ lines, ub @ lines, needed_collisions(cosine)
     out = np.zeros((len(a), len(b)), dtype=bool)
     for at in range(0, len(a), 256):
-        near = collisions(pa_[at : at + 256], pb) >= needed
-        exact = ua[at : at + 256] @ ub.T
-        for i, j in zip(*np.nonzero(near & (np.abs(exact - cosine) < 1e-9)), strict=True):
-            exact[i, j] = (a[at + i] @ b[j]) / (la[at + i] * lb[j])
-        out[at : at + 256] = near & (exact >= cosine)
+        i, j = np.nonzero(collisions(pa_[at : at + 256], pb) >= needed)
+        for begin in range(0, len(i), VERIFIED):
+            x, y = at + i[begin : begin + VERIFIED], j[begin : begin + VERIFIED]
+            out[x, y] = cosines(a, b, x, y, la, lb) >= cosine
     return out
 
 
+def cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Cosine in double precision of the counted pairs (row ``i`` of ``a``, row ``j`` of ``b``) and of no others."""
+    return np.einsum("nd,nd->n", a[i], b[j]) / (la[i] * lb[j])
+
+
 def smallest_reached(links: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest id that each row and each column of a link matrix reaches within it."""
     top = np.iinfo(np.int64).max
