@@ -101,47 +101,83 @@ def search(q: np.ndarray, best: Best, c: np.ndarray, ids: np.ndarray) -> None:
                 best.add(i, scores[row], some_ids[:reach])
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's ``k`` largest inner products with the other rows.
+def reach_of(floor: np.ndarray, lengths: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """For each query the last chunk that may hold a product of its floor or more, -1 for none.
 
-    ``rows`` and ``queries`` come from ``quantized``; vectors meet those of their own dimension only. Ties go
-    to the smaller id. Queries are a stated set and meet all rows in blocks: each (query block, chunk of
-    candidates) is a task's work and passes on ``k`` rows per query. Nothing but the ``SEED_ROWS`` longest
-    vectors, a fixed number, is sent to every task. Fewer candidates than ``k`` give fewer rows, none give none.
+    ``longest`` holds each chunk's largest length; a product is at most the product of the lengths. Chunks before
+    the last one are met too, as lengths fall from chunk to chunk.
+    """
+    falling = np.maximum.accumulate(longest[::-1])[::-1]
+    need = (floor - 1e-6) / np.maximum(lengths * (1 + 1e-9), 1e-9)
+    return np.searchsorted(-falling, -need, "right") - 1
+
+
+def meetings(rows: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and candidates, each once per (dimension, band, block, chunk) in which they meet.
+
+    A query's floor is its k-th best product with the ``SEED_ROWS`` longest vectors. It goes to the chunks up to the last whose
+    longest vector may reach the floor, and a chunk goes to the blocks of the bands (powers of two of that last chunk) that reach it.
     """
     spark = rows.sparkSession
     rows = saved(rows, "vectors")
-    queries = saved(queries, "queries")
-    n, n_queries = rows.count(), queries.count()
-    chunks, blocks = max(1, -(-n // CHUNK_ROWS)), max(1, -(-n_queries // QUERY_BLOCK))
+    n = rows.count()
+    chunks = max(1, -(-n // CHUNK_ROWS))
     keyed = rows.withColumn("grp", -F.floor("norm2")).withColumn("sub", F.xxhash64("vec_id")).withColumn("size", F.lit(1))
     cuts = boundaries(draw(keyed, n, chunks * 32, 0), chunks)
-    chunked = keyed.select("vec_id", "v", "dim", "norm2", range_of(cuts)("grp", "sub").alias("_chunk"))
-    longest = rows.orderBy(F.desc("norm2"), "vec_id").limit(SEED_ROWS).select("vec_id", "v", "dim").collect()
+    chunked = saved(keyed.select("vec_id", "v", "dim", "norm2", range_of(cuts)("grp", "sub").alias("_chunk")), "chunks")
+    longest: dict[int, np.ndarray] = {}
+    for row in chunked.groupBy("dim", "_chunk").agg(F.sqrt(F.max("norm2")).alias("top")).collect():
+        longest.setdefault(row["dim"], np.zeros(len(cuts) + 1))[row["_chunk"]] = row["top"]
     seeds: dict[int, tuple[list, list]] = {}
-    for row in longest:
+    for row in rows.orderBy(F.desc("norm2"), "vec_id").limit(SEED_ROWS).select("vec_id", "v", "dim").collect():
         ids, cells = seeds.setdefault(row["dim"], ([], []))
         ids.append(row["vec_id"])
         cells.append(row["v"])
     seeds = {dim: (np.array(ids), np.array(cells, dtype=np.float64).reshape(-1, dim)) for dim, (ids, cells) in seeds.items()}
-    shared = spark.sparkContext.broadcast(seeds)
+    shared = spark.sparkContext.broadcast((seeds, longest))
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, tops = shared.value
         for batch in batches:
             low = np.full(batch.num_rows, -(1 << 62), dtype=np.int64)
+            reach = np.full(batch.num_rows, -1, dtype=np.int32)
             dims, ids = batch.column("dim").to_numpy(), batch.column("vec_id").to_numpy()
             for dim in np.unique(dims).tolist():
-                if dim not in shared.value:
+                if dim not in tops:
                     continue
                 mine = np.flatnonzero(dims == dim)
-                seed_ids, cells = shared.value[dim]
-                scores = products(matrix(pa.chunked_array([batch.column("v").take(pa.array(mine))]), dim), cells)
-                scores[ids[mine][:, None] == seed_ids[None, :]] = -(1 << 62)
-                if scores.shape[1] > k:
+                q = matrix(pa.chunked_array([batch.column("v").take(pa.array(mine))]), dim)
+                if dim in known and len(known[dim][0]) > k:
+                    seed_ids, cells = known[dim]
+                    scores = products(q, cells)
+                    scores[ids[mine][:, None] == seed_ids[None, :]] = -(1 << 62)
                     low[mine] = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-            yield batch.append_column("floor", pa.array(low))
+                reach[mine] = reach_of(low[mine].astype(np.float64), np.sqrt((q * q).sum(axis=1)), tops[dim])
+            yield batch.append_column("floor", pa.array(low)).append_column("_reach", pa.array(reach))
 
-    with_floor = queries.select("vec_id", "v", "dim").mapInArrow(floors, "vec_id long, v array<bigint>, dim int, floor long")
+    kinds = "vec_id long, v array<bigint>, dim int, floor long, _reach int"
+    band = F.floor(F.log2(F.col("_reach") + 1)).cast("int")
+    known = saved(queries.select("vec_id", "v", "dim").mapInArrow(floors, kinds).where("_reach >= 0").withColumn("_band", band), "floors")
+    bands = known.groupBy("dim", "_band").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("_blocks"), F.max("_reach").alias("_last"))
+    upto = lambda last: F.explode(F.sequence(F.lit(0), last))
+    block = F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int")
+    asked = known.join(F.broadcast(bands), ["dim", "_band"]).withColumn("_block", block).withColumn("_chunk", upto(F.col("_reach")))
+    held = chunked.join(F.broadcast(bands), "dim").where("_chunk <= _last").withColumn("_block", upto(F.col("_blocks") - 1))
+    fresh = [F.col(c).alias(c) for c in ("vec_id", "v", "dim", "norm2", "_band", "_block", "_chunk")]
+    return asked.select("vec_id", "v", "dim", "floor", "_band", "_block", "_chunk"), held.select(*fresh)
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """``query_id, rank, vec_id, score``: each query's ``k`` largest inner products with the other rows.
+
+    ``rows`` and ``queries`` come from ``quantized``; vectors meet those of their own dimension only. Ties go
+    to the smaller id. Queries are a stated set and meet in blocks all chunks of rows that are long enough to hold a
+    result: each (query block, chunk) is a task's work and passes on ``k`` rows per query. Nothing but the
+    ``SEED_ROWS`` longest vectors, a fixed number, and one length per ``CHUNK_ROWS`` rows is sent to every task.
+    Fewer candidates than ``k`` give fewer rows, none give none. Products beyond 64 bits, of components of
+    about 10^8 and more, are not kept apart.
+    """
+    asked, held = meetings(rows, queries, k)
 
     def block(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
         dim = key[0].as_py()
@@ -159,10 +195,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             }
         )
 
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    asked = with_floor.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("_chunk", every(chunks))
-    held = chunked.withColumn("_block", every(blocks))
-    keys = ("dim", "_block", "_chunk")
+    keys = ("dim", "_band", "_block", "_chunk")
     met = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(block, "query_id long, vec_id long, score long")
     line = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
