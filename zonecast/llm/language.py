@@ -15,9 +15,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonecast.llm.store import saved
 from zonecast.llm.tokens import release
 
 FIT_ROWS = 16_000
+FIT_TASKS = 16
+TASK_ROWS = 1000
 LANDMARKS = 192
 LANDMARK_CHARS = (40, 4000)
 RIDGE = 1e-2
@@ -101,27 +104,45 @@ def solve(model: Model, texts: list[str], moments: np.ndarray, targets: np.ndarr
     return lift @ np.linalg.solve(lift.T @ moments @ lift + penalty, lift.T @ targets)
 
 
+def smallest(hashes: DataFrame, per: int) -> DataFrame:
+    """The ``per`` smallest ``_draw`` of each ``lang``, all if it has fewer; ``hashes`` holds each once.
+
+    A histogram of the leading 16 bits tells how far a language's hashes are needed, so only about ``per`` of them are sorted.
+    """
+    lead = F.shiftright("_draw", 48)
+    line = Window.partitionBy("lang").orderBy("_lead").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = hashes.groupBy("lang", lead.alias("_lead")).agg(F.count("*").alias("_own"))
+    needed = counted.withColumn("_before", F.sum("_own").over(line) - F.col("_own")).where(F.col("_before") < per)
+    last = needed.groupBy("lang").agg(F.max("_lead").alias("_last"))
+    few = hashes.join(F.broadcast(last), "lang").where(lead <= F.col("_last"))
+    order = Window.partitionBy("lang").orderBy("_draw")
+    return few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per).select("lang", "_draw")
+
+
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Fit on rows ``text, lang``; None if no row has a language and a letter.
 
-    The sample is bounded: each language gives an equal part of ``fit_rows`` rows (all, if it has fewer), drawn by a
-    hash of the text, and an equal part of ``landmarks``, texts of ``LANDMARK_CHARS`` characters first. Whole
-    texts are used. The sample's kernel products are summed in tasks; the driver sees the landmarks and the sums.
+    The sample is bounded: each language gives an equal part of ``fit_rows``, one at least, of its distinct texts (all, if
+    it has fewer), the smallest by a hash of the text; copies of a text count once. Landmarks are ``landmarks`` of
+    the sampled texts at most, in turn from each language, texts of ``LANDMARK_CHARS`` characters first. Whole texts are
+    used. Only hashes are grouped over all rows; the sample's kernel products are summed in tasks, and the
+    driver sees the landmarks and the sums.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64("text", F.lit(7)).alias("_draw"))
+    languages = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    if not languages:
         return None
-    languages = sorted(counts)
     per = max(1, fit_rows // len(languages))
-    shares = rows.sparkSession.createDataFrame([(lang, per / n) for lang, n in counts.items()], "lang string, _share double")
-    draw = (F.xxhash64("text", F.lit(7)) / F.lit(2.0**64)) + 0.5
-    sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("_share")).drop("_share")
+    drawn = smallest(saved(rows.select("lang", "_draw").distinct(), "language-hashes"), per)
+    chosen = rows.join(F.broadcast(drawn), ["lang", "_draw"]).groupBy("lang", "_draw").agg(F.min("text").alias("text"))
+    tasks = max(FIT_TASKS, -(-fit_rows // TASK_ROWS))
+    sample = saved(chosen.repartition(tasks, "lang", "_draw"), "language-sample")
     low, high = LANDMARK_CHARS
     unfit = (~F.length("text").between(low, high)).cast("int")
     line = Window.partitionBy("lang").orderBy(unfit, "_draw", "text")
-    first = sample.withColumn("_draw", draw).withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= max(1, landmarks // len(languages)))
-    texts = [r["text"] for r in first.orderBy("lang", "_n").select("text").collect()]
+    most = max(1, landmarks)
+    ranked = sample.withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= -(-most // len(languages)))
+    texts = [r["text"] for r in ranked.orderBy("_n", "lang").limit(most).select("text").collect()]
     model = with_landmarks(texts, languages)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     width = len(texts) + 1
@@ -141,7 +162,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARK
                 moments, targets, n = moments + k.T @ k, targets + k.T @ y, n + len(k)
         yield pa.RecordBatch.from_pydict({"n": [n], "moments": [moments.tobytes()], "targets": [targets.tobytes()]})
 
-    parts = sample.repartition(16, "text").mapInArrow(sums, "n long, moments binary, targets binary").collect()
+    parts = sample.select("text", "lang").mapInArrow(sums, "n long, moments binary, targets binary").collect()
     moments = sum(np.frombuffer(p["moments"]).reshape(width, width) for p in parts)
     targets = sum(np.frombuffer(p["targets"]).reshape(width, len(languages)) for p in parts)
     model.weights = solve(model, texts, moments, targets, sum(p["n"] for p in parts), ridge)
