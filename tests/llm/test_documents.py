@@ -55,6 +55,49 @@ def test_language_is_learned_and_odd_texts_are_und(frame, odd_texts):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in odd.items() if r["lang_pred"] != "und"}
 
 
+def test_language_sample_counts_a_repeated_text_once(frame):
+    only = frame(["banana bread"] * 40, langs=["aa"] * 40).select("text", "lang")
+    model = language.fit(only, fit_rows=4)
+    assert model.languages == ["aa"] and len(model.sizes) == 1
+    for hot in ("x y z", "banana bread", "one two"):
+        made = speakers(30)
+        texts, langs = [hot] * 40 + [t for t, _ in made], ["aa"] * 40 + [lang for _, lang in made]
+        model = language.fit(frame(texts, langs=langs).select("text", "lang"), fit_rows=4, landmarks=4)
+        assert model.languages == ["aa", "uu"] and len(model.sizes) == 4
+
+
+def test_language_landmarks_are_bounded_with_many_labels(frame):
+    made = [t for t, _ in speakers(30)]
+    model = language.fit(frame(made, langs=[f"l{i:02}" for i in range(30)]).select("text", "lang"), fit_rows=10, landmarks=7)
+    assert len(model.languages) == 30 and len(model.sizes) == 7
+
+
+@pytest.mark.parametrize("per", [1, 7, 50, 1000])
+def test_smallest_hashes(spark, per):
+    rng = random.Random(per)
+    own = {lang: [rng.randint(-(2**63), 2**63 - 1) >> shift for _ in range(90)] for lang, shift in (("a", 0), ("b", 15), ("c", 40))}
+    hashes = spark.createDataFrame([(lang, h) for lang, some in own.items() for h in set(some)], "lang string, _draw long")
+    got = {tuple(r) for r in language.smallest(hashes, per).collect()}
+    assert got == {(lang, h) for lang, some in own.items() for h in sorted(set(some))[:per]}
+
+
+def test_all_rows_as_landmarks_are_plain_kernel_ridge(frame):
+    made = speakers(60, seed=5)
+    texts, langs = [t for t, _ in made], [lang for _, lang in made]
+    model = language.fit(frame(texts, langs=langs).select("text", "lang"), fit_rows=1000, landmarks=1000)
+    sets = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in texts]
+    new = [t for t, _ in speakers(20, seed=6)]
+    new_sets = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in new]
+    kernel = lambda some: np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in some])
+    n, between = len(texts), kernel(sets)
+    y = np.array([[lang == "aa", lang == "uu"] for lang in langs], dtype=float)
+    penalty = language.RIDGE * n * 2 / (n + 1)
+    system = np.zeros((n + 1, n + 1))
+    system[:n, :n], system[:n, n], system[n, :n], system[n, n] = between + penalty * np.eye(n), 1, between.sum(axis=0), n + 1e-9 * n
+    weights = np.linalg.solve(system, np.vstack([y, y.sum(axis=0)]))
+    assert np.allclose(model.scores(new), kernel(new_sets) @ weights[:n] + weights[n], atol=1e-6)
+
+
 def test_kernel_is_the_count_of_common_grams():
     texts = ["banana", "bandana", "xyz", "a"]
     model = language.with_landmarks(texts[:2], ["aa"])

@@ -76,6 +76,20 @@ def test_collisions_are_counted_in_centred_windows():
     assert (projections.collisions(a, b) == want).all()
 
 
+def test_only_counted_pairs_are_multiplied(monkeypatch):
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((400, 32))
+    a[200:] = a[:200] + 0.1 * rng.standard_normal((200, 32))
+    seen, plain = [], projections.cosines
+    monkeypatch.setattr(projections, "cosines", lambda a, b, i, j, la, lb: seen.append(len(i)) or plain(a, b, i, j, la, lb))
+    own = np.sqrt((a * a).sum(axis=1))
+    want = (a @ a.T) / (own[:, None] * own[None, :]) >= 0.93
+    assert (projections.linked(a, a, 0.93) == want)[~np.eye(400, dtype=bool)].all()
+    assert want.sum() <= sum(seen) + 400 < 400 * 400 / 20
+    monkeypatch.setattr(projections, "collisions", lambda a, b: np.zeros((len(a), len(b)), np.uint8))
+    assert not projections.linked(a, a, 0.93).any()
+
+
 def test_needed_collisions_keep_recall():
     rng = np.random.default_rng(3)
     lost = pairs = 0
@@ -110,6 +124,34 @@ def test_top_k_equals_brute_force(vectors, monkeypatch, bucket):
     assert got == want
 
 
+def test_chunks_too_short_for_a_block_are_not_sent(vectors, monkeypatch):
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(retrieval, "SEED_ROWS", 60)
+    rng = np.random.default_rng(9)
+    made = [[float(x) for x in rng.standard_normal(4) * 10 / (1 + i / 20)] for i in range(600)]
+    rows = retrieval.quantized(vectors([(i, v, 0) for i, v in enumerate(made)]))
+    queries = rows.where("vec_id % 6 = 0")
+    asked, held = retrieval.meetings(rows, queries, 5)
+    chunks = held.select("_chunk").distinct().count()
+    blocks = asked.select("_band", "_block").distinct().count()
+    assert chunks < 600 // 40 and asked.count() < 100 * 600 // 40 / 2
+    assert held.count() < 600 * blocks / 2
+    whole = [np.floor(64 * np.array(v)).astype(int) for v in made]
+    got = {tuple(r) for r in retrieval.top_k(rows, queries, 5).collect()}
+    want = set()
+    for i in range(0, 600, 6):
+        near = sorted((-int(whole[i] @ w), j) for j, w in enumerate(whole) if j != i)[:5]
+        want |= {(i, rank, j, -score) for rank, (score, j) in enumerate(near, 1)}
+    assert got == want
+
+
+def test_reach_is_the_last_chunk_long_enough():
+    longest = np.array([9.0, 0.0, 5.0, 3.0])
+    floor, lengths = np.array([90.0, 40.0, 30.0, -(2.0**62), 91.0]), np.array([10.0, 10.0, 10.0, 0.0, 10.0])
+    assert retrieval.reach_of(floor, lengths, longest).tolist() == [0, 2, 3, 3, -1]
+
+
 @pytest.mark.parametrize("dim", [2, 3, 16])
 def test_top_k_of_axis_heavy_vectors(monkeypatch, dim):
     monkeypatch.setattr(retrieval, "BUCKET_ROWS", 8)
