@@ -156,6 +156,22 @@ def test_intervals_match_numpy(spark):
         resample.check_contrasts([("a", "a")], ["a"])
 
 
+def test_weather_role_marks_the_asked_delay(spark):
+    pooled = spark.createDataFrame([("a", 2.0), ("b", 4.0)], "model string, mae double")
+    both = [("a", "b"), ("b", "a")]
+    plain = resample.block_sensitivity(losses(spark), pooled, both, (1, 2), 1, 20, 5)
+    found = resample.block_sensitivity(losses(spark), pooled, both, (1, 2), 1, 20, 5, weather_candidate="a")
+    assert found.columns == [*plain.columns, "weather_role"]
+    assert {(r.candidate, r.block_days, r.role, r.weather_role) for r in found.collect()} == {
+        ("a", 1, "primary", "primary"),
+        ("a", 2, "sensitivity", "primary"),
+        ("b", 1, "primary", "sensitivity"),
+        ("b", 2, "sensitivity", "sensitivity"),
+    }
+    with pytest.raises(ValueError):
+        resample.block_sensitivity(losses(spark), pooled, both, (1,), 1, 20, 5, weather_candidate="c")
+
+
 def test_day_weights_follow_daylight_saving(spark):
     zones = spark.createDataFrame([(2,), (3,)], "zone_id int")
     fold = folds.study_folds("2026-02-01", ("2026-03-07", "2026-03-10"), "2026-03-10")

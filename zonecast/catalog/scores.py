@@ -186,7 +186,7 @@ def family_intervals(spark, sf):
     return resample.family_intervals(*draws_and_pooled(spark, sf, (PRIMARY,)), CONTRASTS, PRIMARY)
 
 
-def sensitivity(spark, sf, replicates):
+def sensitivity(spark, sf, replicates, weather_candidate=None):
     table = stored_daily(spark, sf)
     return resample.block_sensitivity(
         losses(spark, sf, table),
@@ -196,6 +196,7 @@ def sensitivity(spark, sf, replicates):
         PRIMARY,
         replicates,
         SEED,
+        weather_candidate=weather_candidate,
     )
 
 
@@ -204,6 +205,11 @@ def block_sensitivity(spark, sf):
     return sensitivity(spark, sf, REPLICATES)
 
 
+@query
+def weather_block_sensitivity(spark, sf):
+    return sensitivity(spark, sf, REPLICATES, CONTRASTS[0][0])
+
+
 @query
 def linear_percentiles(spark, sf):
     drawn, _ = draws_and_pooled(spark, sf)

@@ -232,11 +232,23 @@ def family_intervals(
 
 
 def block_sensitivity(
-    losses: DataFrame, pooled, contrasts, block_days, primary_block, replicates, seed, confidence=0.95
+    losses: DataFrame, pooled, contrasts, block_days, primary_block, replicates, seed, confidence=0.95, weather_candidate=None
 ) -> DataFrame:
-    """All block lengths in one job, with their role."""
+    """All block lengths in one job, with their role; with ``weather_role`` where a ``weather_candidate`` is named."""
     draws = bootstrap_mae(losses, block_days, replicates, seed)
-    return family_intervals(draws, pooled, contrasts, primary_block, confidence, confidence)
+    found = family_intervals(draws, pooled, contrasts, primary_block, confidence, confidence)
+    return found if weather_candidate is None else with_weather_role(found, contrasts, weather_candidate)
+
+
+def with_weather_role(found: DataFrame, contrasts, weather_candidate: str) -> DataFrame:
+    """``weather_role``: primary for the delay that the study asks about, sensitivity for the other delays.
+
+    A study whose contrasts never have ``weather_candidate`` on the candidate's side has no primary contrast: an error.
+    """
+    if all(candidate != weather_candidate for candidate, _ in contrasts):
+        raise ValueError(f"No contrast has {weather_candidate} as its candidate")
+    role = F.when(F.col("candidate") == weather_candidate, F.lit("primary")).otherwise(F.lit("sensitivity"))
+    return found.withColumn("weather_role", role)
 
 
 def linear_percentiles(draws: DataFrame, contrasts, probabilities) -> DataFrame:

@@ -346,6 +346,11 @@ def interval_sql(where, family):
 check("contrast_intervals", interval_sql("WHERE block_days = 2", False))
 check("family_intervals", interval_sql("WHERE block_days = 2", True))
 check("block_sensitivity", interval_sql("", True))
+check(
+    "weather_block_sensitivity",
+    f"""SELECT *, CASE candidate WHEN 'rolling_mean_24h' THEN 'primary' ELSE 'sensitivity' END AS weather_role
+  FROM ({interval_sql("", True)})""",
+)
 check(
     "linear_percentiles",
     "\nUNION ALL\n".join(

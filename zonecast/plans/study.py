@@ -105,8 +105,12 @@ def uncertainty(
     replicates: int = 10_000,
     seed: int = 42,
     confidence: float = 0.95,
+    weather_candidate: str | None = None,
 ) -> None:
-    """Intervals from the saved daily errors of a backtest, after they reconcile."""
+    """Intervals from the saved daily errors of a backtest, after they reconcile.
+
+    With ``weather_candidate``, the model of the delay asked about, intervals carry ``weather_role``.
+    """
     folds = study_folds(train_start, boundaries, sealed)
     daily, pooled, by_fold = (spark.read.parquet(f"{study}/{n}") for n in ("daily", "pooled", "folds"))
     weights = resample.day_weights(spark.read.parquet(f"{study}/zones"), folds)
@@ -119,6 +123,8 @@ def uncertainty(
     )
     draws = spark.read.parquet(f"{out}/draws")
     found = resample.family_intervals(draws, pooled, contrasts, block_days[0], confidence, confidence)
+    if weather_candidate is not None:
+        found = resample.with_weather_role(found, contrasts, weather_candidate)
     sources.write_report_table(found, f"{out}/csv/intervals")
 
 
