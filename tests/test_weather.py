@@ -189,3 +189,25 @@ def test_silent_station_is_all_missing(spark):
     seen = spark.createDataFrame([("a", START, 1.0, 1.0, 1.0)], "station_id string, observed_at timestamp_ntz, temperature_c double, dew_point_c double, wind_speed_m_s double")
     made = weather.asof_snapshot(seen, START, START + timedelta(hours=4), (0,), 6, ["a", "b"]).collect()
     assert sum(r.station_id == "b" for r in made) == 4 and all(r.temperature_c is None for r in made if r.station_id == "b")
+
+
+def test_any_target_meets_no_pairs(spark):
+    """Many targets and observations of an hour, ties, repeats, nulls and old observations, against a plain loop."""
+    minutes = sorted({i * i * 13 % 5000 for i in range(300)} - set(range(1000, 2400)))
+    seen = observations(spark, *[(m, float(m)) for m in minutes])
+    unknown = seen.limit(1).withColumn("observed_at", F.lit(None).cast("timestamp_ntz"))
+    asked = [("s", T0 + timedelta(minutes=i * 7 % 5200), d) for i in range(700) for d in (0, 1, 5)]
+    asked += [asked[0], (None, T0, 0), ("s", None, 0), ("s", T0, None), ("other", T0, 0)]
+    targets = spark.createDataFrame(asked, "station_id string, hour timestamp_ntz, delay_hours int")
+    made = weather.asof_any_target(seen.unionByName(unknown), targets, 4)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+    def wanted(station, hour, delay):
+        if station != "s" or hour is None or delay is None or delay > 4:
+            return None
+        at = (hour - T0).total_seconds() / 60
+        return max((m for m in minutes if at - 240 <= m < at - 60 * delay), default=None)
+
+    shown = lambda rows: sorted(rows, key=repr)
+    found = [(r.station_id, r.hour, r.delay_hours, r.temperature_c) for r in made.collect()]
+    assert shown(found) == shown([(*t, wanted(*t)) for t in asked])

@@ -264,33 +264,34 @@ def asof_snapshot(observations: DataFrame, start, stop, delays=DELAYS, max_age_h
 def asof_any_target(observations: DataFrame, targets: DataFrame, max_age_hours: int) -> DataFrame:
     """The same choice for arbitrary target times (``station_id, hour, delay_hours``).
 
-    Target and observation meet on the clock hours the target can see, then the exact strict and
-    age bounds decide. Also the second formulation that ``asof_snapshot`` is verified against.
+    Targets stand among the observations of their station and clock hour, at the time before which they may look, behind the
+    last observation of earlier hours; the last observation before a target is the choice, if it is young enough. Work grows with
+    observations plus targets, however many of both an hour holds. Also the second formulation that ``asof_snapshot`` is verified
+    against.
     """
     carried = carried_columns(observations)
-    oldest = hour_floor(F.col("hour") - hours(max_age_hours))
-    newest = hour_floor(F.col("hour") - hours(F.col("delay_hours")))
-    visible = targets.where(F.col("delay_hours") <= max_age_hours).withColumn(
-        "clock", F.explode(F.sequence(oldest, newest, F.expr("interval 1 hour")))
-    )
-    rows = observations.select(
-        "station_id",
-        hour_floor(F.col("observed_at")).alias("clock"),
-        "observed_at",
-        F.struct("observed_at", *carried).alias("row"),
-    )
-    usable = (F.col("observed_at") + hours(F.col("delay_hours")) < F.col("hour")) & (
-        F.col("observed_at") + hours(max_age_hours) >= F.col("hour")
-    )
-    best = (
-        visible.join(rows, ["station_id", "clock"])
-        .where(usable)
-        .groupBy("station_id", "hour", "delay_hours")
-        .agg(F.max_by("row", "observed_at").alias("pick"))
-    )
-    return snapshot_columns(
-        targets.join(best, ["station_id", "hour", "delay_hours"], "left"), carried
+    row = F.struct("observed_at", *carried)
+    rows = observations.where(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull()).select(
+        "station_id", F.col("observed_at").alias("_at"), row.alias("pick")
     )
+    nothing = F.lit(None).cast(rows.schema["pick"].dataType).alias("pick")
+    # At one time a carried observation stands first, then targets, then observations: a target looks strictly before itself.
+    carry, target, seen = (F.lit(i).alias("_kind") for i in range(3))
+    clock = hour_floor(F.col("_at")).alias("_clock")
+    asked = targets.select(
+        "station_id", (F.col("hour") - hours(F.col("delay_hours"))).alias("_at"), target, nothing, "hour", "delay_hours"
+    ).withColumn("_clock", clock)
+    lasts = rows.groupBy("station_id", clock).agg(F.max_by("pick", "_at").alias("pick")).withColumn("_kind", seen)
+    clocks = asked.select("station_id", "_clock").distinct().withColumns({"pick": nothing, "_kind": target})
+    # One row per station and clock hour with targets or observations.
+    upto = Window.partitionBy("station_id").orderBy("_clock", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = clocks.unionByName(lasts).withColumn("pick", F.last("pick", ignorenulls=True).over(upto)).where(F.col("_kind") == target)
+    line = rows.withColumns({"_clock": clock, "_kind": seen}).unionByName(before.withColumns({"_at": F.col("_clock"), "_kind": carry}))
+    inside = Window.partitionBy("station_id", "_clock").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    latest = line.unionByName(asked, allowMissingColumns=True).withColumn("pick", F.last("pick", ignorenulls=True).over(inside))
+    usable = (F.col("delay_hours") <= max_age_hours) & (F.col("pick.observed_at") + hours(max_age_hours) >= F.col("hour"))
+    chosen = latest.where(F.col("_kind") == target).withColumn("pick", F.when(usable, F.col("pick")))
+    return snapshot_columns(chosen, carried)
 
 
 def snapshot_quality(snapshots: DataFrame) -> DataFrame:
