@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +212,20 @@ def test_rows_without_a_copy_move_as_digests(spark):
     assert sum("text" in line for line in moved) == 1 and any("digest" in line for line in moved)
     # What is grouped on all columns are the suspected rows alone.
     assert audit.suspected_rows(frame).count() < 5
+
+
+def test_filled_grid_is_never_grouped_by_hour(spark):
+    """Counts off the grid stay, repeated zones and counts add up, and hours are made behind the last aggregation."""
+    at = lambda text: datetime.fromisoformat(f"2026-03-{text}")
+    counts = [(2, at("07 05:00"), 1), (2, at("07 05:00"), 2), (2, at("08 04:00"), None), (2, at("09 04:00"), 5), (2, at("07 06:30"), 7), (9, at("07 05:00"), 4), (None, None, None)]
+    frame = spark.createDataFrame(counts, "zone_id int, hour timestamp_ntz, demand int")
+    twice = zones(spark).unionByName(zones(spark))
+    made = prep.densify(frame, twice, "2026-03-07", "2026-03-09")
+    found = sorted(((r.zone_id, r.hour, r.demand) for r in made.collect()), key=repr)
+    grid = {(z, at("07 05:00") + timedelta(hours=h)): 0 for z in (2, 3) for h in range(47)}
+    grid |= {(2, at("07 05:00")): 3, (2, at("09 04:00")): 5, (2, at("07 06:30")): 7, (9, at("07 05:00")): 4, (None, None): None}
+    assert found == sorted(((*k, v) for k, v in grid.items()), key=repr)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Aggregate")
+    half = prep.densify(frame, zones(spark), "2026-03-07 00:30:00", "2026-03-09 00:30:00").where("demand = 0").collect()
+    assert {r.hour.minute for r in half} == {30} and len(half) == 2 * 47 - 1
