@@ -279,6 +279,33 @@ def test_long_parts_share_their_core(tokenizer):
     assert all(len(part) <= fresh.longest for part in fresh.known) and not {"introduction", "a" * 60} & set(fresh.cores)
 
 
+def test_case_and_tails_of_words_are_not_the_librarys_work(tokenizer, monkeypatch):
+    from zonecast.llm.tokens import WordIds
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abcdeöéñß") for _ in range(rng.randint(1, 12))) for _ in range(400)})
+    odd = ["ÖTZIE×2", "a÷b", "x\u0301.", "Ÿ", "İ.", "ΣΑΣ.", "Don't.", "ª.", "a\tb.", "(ok)", "<|EndOfText|>", "foo<|endoftext|>", "5.", "\u00a0", "ẞ", "$5", "a&b"]
+    texts = [f"{w} {w.title()}. {w.upper().replace('SS', 'ß')}&&& {w},### {w}!\") {o}{o} {o}" for w, o in zip(words, odd * 30, strict=False)]
+    fresh, asked = WordIds(WORD_BPE), []
+    monkeypatch.setattr(fresh, "_encode", lambda pieces, real=fresh._encode: (asked.extend(pieces), real(pieces)))
+    for text, ids in zip(texts, fresh.ids_of(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(asked) < 100 and not set(words) & set(asked)
+    # A word is kept once, not as a part and again as a core.
+    assert not set(words) & set(fresh.cores) and len(fresh.cores) < 100
+
+
+def test_full_word_cache_starts_anew(tokenizer):
+    from zonecast.llm.tokens import WordIds
+
+    texts = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}. Éa{chr(97 + i % 26)}" for i in range(300)]
+    tight = WordIds(WORD_BPE, parts=50, pieces=5)
+    for _ in range(2):
+        for text, ids in zip(texts, tight.ids_of(texts, together=4), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+            assert len(tight.known) + len(tight.cores) <= 50 + 5 + 1 + 6 * 4
+
+
 # --- token counts ---------------------------------------------------------------------------------
 
 

@@ -10,13 +10,16 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
 from zonecast.llm.merges import MergeTable, byte_names
 
 PUNCTUATION = ".,;:!?"
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+# A line of letters up to U+00FF and a tail that is a pre-token of its own, or any other line.
+SHAPES = re.compile("^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*)\\]}\"]*)$|^(.+)$", re.MULTILINE).findall
 _opened: dict[str, "WordIds"] = {}
 
 
@@ -35,9 +38,10 @@ def release() -> None:
 
 
 class WordIds:
-    """``parts`` and ``pieces`` bound the two caches; a full cache starts anew, ids stay the same."""
+    """``known`` has the ids of parts and of their folded words, ``cores`` those of pieces that the library encodes; ``parts`` and
+    ``pieces`` bound them. A full cache starts anew, ids stay the same."""
 
-    def __init__(self, path: str, parts: int = 800_000, pieces: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, parts: int = 1_000_000, pieces: int = 100_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,32 +68,40 @@ class WordIds:
                 known.clear()
             if len(self.cores) > self.pieces:
                 self.cores.clear()
-            new = set().union(*cut).difference(known)
-            self._learn(new)
-            yield from [b"".join(map(known.__getitem__, parts)) for parts in cut]
+            found = [list(map(known.get, parts)) for parts in cut]
+            long = self._learn(set().union(*[compress(parts, map(not_, ids)) for parts, ids in zip(cut, found, strict=True)]))
+            yield from [b"".join([own or known[part] for part, own in zip(parts, ids, strict=True)]) for parts, ids in zip(cut, found, strict=True)]
             # Long parts are never kept, so each of them is among the new ones.
-            for part in new:
-                if len(part) > self.longest:
-                    del known[part]
-
-    def _learn(self, new: set[str]) -> None:
-        cores, split, wanted = self.cores, [], set()
-        for part in new:
-            text = part.lower() if part.isascii() and "<|" not in part else part
-            core = text.rstrip(PUNCTUATION)
-            tail = text[len(core) :]
-            if not core or not tail or not self._letter(core[-1]):
-                core, tail = text, ""
-            split.append((part, core, tail))
-            wanted.add(core)
-            wanted.add(tail)
-        self._encode({piece for piece in wanted.difference(cores) if piece})
-        cores[""] = b""
-        self.known.update([(part, cores[core] + cores[tail]) for part, core, tail in split])
-        # Other parts may share the core of a long one, so cores go only when all parts have theirs.
-        for part, core, _ in split:
-            if len(part) > self.longest:
-                cores.pop(core, None)
+            for part in long:
+                known.pop(part, None)
+                self.cores.pop(part, None)
+
+    def _learn(self, new: set[str]) -> list[str]:
+        """Gives all new parts their ids and returns what is too long to be kept.
+
+        Letters up to U+00FF are one pre-token: case is folded here and only merges are left.
+        """
+        known, cores = self.known, self.cores
+        known[""] = cores[""] = b""
+        parts = [part for part in new if part]
+        shapes = SHAPES("\n".join(parts))
+        words = "\n".join([word for word, _, _ in shapes]).lower().split("\n")
+        fresh = list(set(words).difference(known))
+        known.update(zip(fresh, self.merges.ids_of_all([w.encode() for w in fresh], self.inner, self.last), strict=True))
+        split = [(part, *self._cut(part)) for _, _, part in shapes if part]
+        wanted = {piece for _, *pieces in split for piece in pieces}.union([tail for _, tail, _ in shapes]).difference(cores)
+        self._encode(wanted)
+        if shapes:
+            known.update([(part, known[word] + cores[tail]) for part, word, (_, tail, _) in zip(parts, words, shapes, strict=True) if word])
+        known.update([(part, cores[core] + cores[tail]) for part, core, tail in split])
+        return [piece for some in (parts, fresh, wanted) for piece in some if len(piece) > self.longest]
+
+    def _cut(self, part: str) -> tuple[str, str]:
+        """A part of other shape, without its tail of punctuation, and the tail."""
+        text = part.lower() if part.isascii() and "<|" not in part else part
+        core = text.rstrip(PUNCTUATION)
+        tail = text[len(core) :]
+        return (core, tail) if core and tail and self._letter(core[-1]) else (text, "")
 
     @staticmethod
     def _letter(last: str) -> bool:
@@ -97,9 +109,7 @@ class WordIds:
         return last.isalpha() if last.isascii() else unicodedata.normalize("NFC", last).lower()[-1].isalpha()
 
     def _encode(self, pieces: set[str]) -> None:
-        """Lower-case letters up to U+00FF are one pre-token and stay as they are, so only merges are left; the rest is the library's."""
-        words = [p for p in pieces if PLAIN(p)]
-        self.cores.update(zip(words, self.merges.ids_of_all([w.encode() for w in words], self.inner, self.last), strict=True))
-        rest = list(pieces.difference(words))
-        for piece, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        """The library's ids of pieces."""
+        asked = list(pieces)
+        for piece, got in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
             self.cores[piece] = np.array(got.ids, dtype="<u4").tobytes()
