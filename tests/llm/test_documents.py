@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from made import prose
-from zonecast.llm import codes, language, mixing, packing, phrases, setsketch, shards, tries
+from zonecast.llm import codes, language, mixing, packing, phrases, setsketch, shards, tokens, tries
 from zonecast.llm.store import new_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -557,3 +557,26 @@ def test_shards_keep_columns_of_any_name(spark):
     assert made.columns.count("slot") == 1 and made.columns.count("shard") == 1
     for r in made.collect():
         assert [r[c] for c in kept] == [100 * r["doc_id"] + CLASHING.index(c) for c in kept] and r["shard"] in (0, 1, 2)
+
+
+def test_a_part_is_looked_up_once_per_chunk_of_texts():
+    """Parts that repeat in a chunk meet the cache once; long texts end a chunk; ids are those of the whole texts."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    words = tokens.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words.known = Counted()
+    texts = ["the  cat\nsat on the mat, the end. ", None, "", " \n ", "caf\u00e9 the CAT \u65e5\u672c <|endoftext|> it's"] * 50
+    got = list(words.ids_of(texts))
+    assert Counted.asked <= 20
+    for text, ids in zip(texts[:5], got[:5], strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert got == got[:5] * 50
+    cut = list(tokens.chunks(["a", None, "b" * tokens.TOGETHER_CHARS, "c", "d", "e"], 2))
+    assert [len(c) for c in cut] == [2, 1, 2, 1] and sum(cut, [])[2][0] == "b"
+    assert list(tokens.chunks([], 3)) == []

@@ -37,9 +37,8 @@ def encode(ids: np.ndarray) -> bytes:
         bitmap, ranks = b"", b""
         if not last:
             bitmap = np.packbits(more, bitorder="little").tobytes()
-            whole = np.zeros(-(-len(more) // RANK_BITS) * RANK_BITS, dtype=bool)
-            whole[: len(more)] = more
-            counts = whole.reshape(-1, RANK_BITS).sum(axis=1)
+            whole = bitmap.ljust(-(-len(more) // RANK_BITS) * RANK_BITS // 8, b"\0")
+            counts = np.bitwise_count(np.frombuffer(whole, np.uint64)).reshape(-1, RANK_BITS // 64).sum(axis=1, dtype=np.int64)
             ranks = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype("<u4").tobytes()
         levels.append((len(rest), chunks, bitmap, ranks))
         if last:

@@ -10,14 +10,17 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from zonecast.llm.merges import MergeTable, byte_names
 
 PUNCTUATION = ".,;:!?"
+# So many texts are cut at once, and so many characters of them beside the last.
+TOGETHER, TOGETHER_CHARS = 1024, 1 << 21
 # A line of letters up to U+00FF and a tail that is a pre-token of its own, or any other line.
 SHAPES = re.compile("^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*)\\]}\"]*)$|^(.+)$", re.MULTILINE).findall
 _opened: dict[str, "WordIds"] = {}
@@ -37,6 +40,28 @@ def release() -> None:
         kept.cores.clear()
 
 
+def chunks(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """Runs of up to ``most`` texts that end with the text that reaches ``TOGETHER_CHARS``."""
+    begin = chars = 0
+    for end, text in enumerate(texts, 1):
+        chars += len(text or "")
+        if end - begin == most or chars >= TOGETHER_CHARS or end == len(texts):
+            yield texts[begin:end]
+            begin, chars = end, 0
+
+
+def gathered(ids: list[bytes], index: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+    """The joined ids of the parts ``index[a:b]`` for each two neighbours a and b of ``bounds``."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begins, own = np.cumsum(sizes) - sizes, sizes[index]
+    ends = np.concatenate([[0], np.cumsum(own)])
+    at = np.repeat(begins[index] - ends[:-1], own)
+    at += np.arange(len(at))
+    data, cuts = np.frombuffer(b"".join(ids), "<u4")[at].tobytes(), (4 * ends[bounds]).tolist()
+    for begin, end in pairwise(cuts):
+        yield data[begin:end]
+
+
 class WordIds:
     """``known`` has the ids of parts and of their folded words, ``cores`` those of pieces that the library encodes; ``parts`` and
     ``pieces`` bound them. A full cache starts anew, ids stay the same."""
@@ -59,25 +84,32 @@ class WordIds:
         """All ids of one text; nothing for a null or empty one."""
         return next(self.ids_of([text]))
 
-    def ids_of(self, texts: list[str | None], together: int = 256) -> Iterator[bytes]:
-        """The ids of each text in turn. Parts not met before are encoded for ``together`` texts at once."""
+    def ids_of(self, texts: list[str | None], together: int = TOGETHER) -> Iterator[bytes]:
+        """The ids of each text in turn. Up to ``together`` texts are cut into parts at once, each distinct part of them is looked up once, and
+        the ids of all parts are gathered by its number; parts not met before are encoded together."""
         known = self.known
-        for at in range(0, len(texts), together):
-            cut = [text.replace("\n", " ").split(" ") if text else [] for text in texts[at : at + together]]
+        for group in chunks(texts, together):
+            some = pc.fill_null(pa.array(group, pa.large_string()), "")
+            cut = pc.split_pattern(pc.replace_substring(some, "\n", " "), " ")
+            coded = cut.flatten().dictionary_encode()
+            parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             if len(known) > self.parts:
                 known.clear()
             if len(self.cores) > self.pieces:
                 self.cores.clear()
-            found = [list(map(known.get, parts)) for parts in cut]
-            long = self._learn(set().union(*[compress(parts, map(not_, ids)) for parts, ids in zip(cut, found, strict=True)]))
-            yield from [b"".join([own or known[part] for part, own in zip(parts, ids, strict=True)]) for parts, ids in zip(cut, found, strict=True)]
+            found = list(map(known.get, parts))
+            new = [i for i, own in enumerate(found) if own is None]
+            long = self._learn([parts[i] for i in new]) if new else []
+            for i in new:
+                found[i] = known[parts[i]]
+            yield from gathered(found, coded.indices.to_numpy(), cut.offsets.to_numpy())
             # Long parts are never kept, so each of them is among the new ones.
             for part in long:
                 known.pop(part, None)
                 self.cores.pop(part, None)
 
-    def _learn(self, new: set[str]) -> list[str]:
-        """Gives all new parts their ids and returns what is too long to be kept.
+    def _learn(self, new: list[str]) -> list[str]:
+        """Gives all new parts, each of them named once, their ids and returns what is too long to be kept.
 
         Letters up to U+00FF are one pre-token: case is folded here and only merges are left.
         """
