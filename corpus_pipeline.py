@@ -16,7 +16,10 @@ LEAST_SCORE = 0.15
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in a language of the labelled rows; texts without letters and without a likeness to any go."""
+    """Rows in a language of the labelled rows; texts without letters and without a likeness to any go.
+
+    ``lang`` is from here on the language found in the text, which the source mix goes by, also where a label was missing.
+    """
     model = language.fit(docs.select("text", "lang"))
     return language.in_known_language(docs, model, LEAST_SCORE)
 
@@ -44,8 +47,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document taken twice is two rows."""
-    return mixing.mixed(docs)
+    """Sources at their target weights within each identified language; a document taken twice is two rows.
+
+    A language keeps its share of all words, whatever sources hold it.
+    """
+    return mixing.mixed(docs, within=("lang",))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -434,6 +434,48 @@ def test_mix_takes_rows_of_null_and_repeated_ids(frame):
     assert max(copies.values()) <= 3 * 3 and any(i is None for _, i, _ in copies)
 
 
+def test_mix_within_groups_is_a_mix_of_each(frame):
+    """Sources share each group's words by their weights in the order of all sources, whether a group holds them or not."""
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randint(1, 40)) for _ in range(300)]
+    langs = [(None, "aa", "bb")[i % 3] for i in range(300)]
+    sources = ["s1" if lang == "aa" and i % 2 else f"s{i % 5 % 3}" if lang != "aa" else "s2" for i, lang in enumerate(langs)]
+    docs = frame(texts, langs=langs, sources=sources)
+    size, taken = collections.Counter(), collections.Counter()
+    for text, lang, source in zip(texts, langs, sources, strict=True):
+        size[lang, source] += len(words(text))
+    for r in mixing.mixed(docs, within=("lang",)).collect():
+        taken[r["lang"], r["source"]] += len(words(r["text"]))
+    for lang in (None, "aa", "bb"):
+        wanted = mixing.targets([(s, size[lang, s]) for s in ("s0", "s1", "s2")])
+        assert wanted["s0"] > 0 or lang == "aa"
+        assert all(abs(taken[lang, s] - wanted[s]) <= 0.5 for s in wanted)
+
+
+def test_identified_language_decides_the_mix(spark, frame):
+    """Texts without a label get their language, and the source mix goes by it."""
+    import corpus_pipeline
+
+    made = speakers(200)
+    told = [None if i % 5 == 0 else lang for i, (_, lang) in enumerate(made)]
+    given = frame([t for t, _ in made], langs=told, sources=[f"s{i % 7 % 3}" for i in range(200)])
+    docs = corpus_pipeline.identify_language(spark, given, "")
+    rows = docs.collect()
+    assert docs.schema == given.schema and len(rows) == 200
+    assert [r["lang"] for r in sorted(rows)] == [lang for _, lang in made]
+    size, taken, past = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in rows:
+        size[r["lang"], r["source"]] += len(words(r["text"]))
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        taken[r["lang"], r["source"]] += len(words(r["text"]))
+    for r in corpus_pipeline.mix_sources(spark, given, "").collect():
+        past[made[r["doc_id"]][1], r["source"]] += len(words(r["text"]))
+    for lang in ("aa", "uu"):
+        wanted = mixing.targets([(f"s{i}", size[lang, f"s{i}"]) for i in range(3)])
+        assert all(abs(taken[lang, s] - wanted[s]) <= 0.5 for s in wanted)
+    assert past != taken
+
+
 # --- near documents -------------------------------------------------------------------------------
 
 

@@ -198,22 +198,26 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def in_known_language(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a learned language with a score of ``least`` or more.
 
-    A text without a letter is not; so is none if there is no model.
+    ``lang`` becomes the language of the whole text, whatever label a row came with, none included. A text without a letter
+    is in no language; so is none if there is no model.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at, named = docs.columns.index("text"), docs.columns.index("lang")
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         known = shared.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            keep = np.zeros(len(texts), dtype=bool)
+            names: list[str | None] = [None] * len(texts)
             real = [i for i, text in enumerate(texts) if known is not None and has_letter(text)]
             for begin in range(0, len(real), BLOCK):
                 some = real[begin : begin + BLOCK]
-                keep[some] = known.scores([texts[i] for i in some]).max(axis=1) >= least
-            yield batch.filter(pa.array(keep))
+                values = known.scores([texts[i] for i in some])
+                for i, best, value in zip(some, values.argmax(axis=1).tolist(), values.max(axis=1).tolist(), strict=True):
+                    names[i] = known.languages[best] if value >= least else None
+            found = pa.array(names, batch.schema.field(named).type)
+            yield batch.set_column(named, batch.schema.field(named), found).filter(found.is_valid())
 
     return docs.mapInArrow(good, docs.schema)
 

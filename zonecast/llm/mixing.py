@@ -50,19 +50,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     return decided(docs, (), weights, most, seed)
 
 
-def decided(docs: DataFrame, row: tuple[str, ...], weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
-    """``mix`` with the columns ``row``, which come last in the order of a source's rows, in front."""
+def targets_within(sizes: list[tuple], weights: tuple[int, ...], most: int) -> list[tuple]:
+    """``(*group, source, size)`` with each one's target behind: ``targets`` of each group by itself, the weights by the order of all sources."""
+    names, groups = {s[-2] for s in sizes}, {s[:-2] for s in sizes}
+    own = {s[:-1]: s[-1] for s in sizes}
+    wanted = {group: targets([(name, own.get((*group, name), 0)) for name in names], weights, most) for group in groups}
+    return [(*s, float(wanted[s[:-2]][s[-2]])) for s in sorted(sizes, key=lambda s: [(v is None, v or "") for v in s[:-1]])]
+
+
+def decided(docs: DataFrame, row: tuple[str, ...], weights: tuple[int, ...], most: int, seed: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``mix`` with the columns ``row``, which come last in the order of a source's rows, in front.
+
+    Each group of like values of the text columns ``within`` is a mix of its own.
+    """
     spark = docs.sparkSession
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
-    sized = saved(docs.select(*row, "doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key")), "mix-sizes")
-    found = [(r["source"], r["size"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()]
-    wanted = targets(found, weights, most)
-    order = sorted(found, key=lambda s: (s[0] is None, s[0] or ""))
+    sized = saved(docs.select(*row, *within, "doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key")), "mix-sizes")
+    keys = [*within, "source"]
+    found = [tuple(r) for r in sized.groupBy(*keys).agg(F.sum("size").alias("size")).collect()]
+    names = [f"_name{i}" for i in range(len(keys))]
     sources = spark.createDataFrame(
-        [(i, name, size, float(wanted[name])) for i, (name, size) in enumerate(order)],
-        "_s int, _name string, source_size long, target double",
+        [(i, *known) for i, known in enumerate(targets_within(found, weights, most))],
+        f"_s int, {', '.join(f'{name} string' for name in names)}, source_size long, target double",
     )
-    known = sized.join(sources, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    same = [F.col(key).eqNullSafe(F.col(name)) for key, name in zip(keys, names, strict=True)]
+    known = sized.join(sources, same).drop(*names, *within)
     line = ("_s", "_key", "doc_id", "size", *row)
     ranged = saved(known.repartitionByRange(*line).withColumn("_part", F.spark_partition_id()), "mix-ranges")
     totals = ranged.groupBy("_part", "_s").agg(F.sum("size").alias("_n"))
@@ -79,16 +91,18 @@ def decided(docs: DataFrame, row: tuple[str, ...], weights: tuple[int, ...], mos
     )
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED, within: tuple[str, ...] = ()) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a document taken twice is two rows, one not taken is gone.
 
+    Rows of like values of the columns ``within`` are a mix of their own: the sources share the words of that group.
+
     A document whose words are taken in part ends at its last word taken. Decisions meet their rows by a key of the row that
     is made once in a written table, so rows without an id and rows that share one are taken like all others. Other columns stay,
     whatever their names.
     """
     docs, back = aside(docs, ("_row", "_size", "_taken", "_copy"))
     docs, columns = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows"), docs.columns
-    taken = decided(docs, ("_row",), weights, most, seed).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    taken = decided(docs, ("_row",), weights, most, seed, within).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     copies = F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1)
     rows = docs.join(taken, "_row").withColumn("_copy", F.explode(copies))
     words = F.col("_taken") - F.col("_copy") * F.col("_size")
