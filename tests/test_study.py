@@ -388,3 +388,30 @@ def test_folds_that_do_not_expand_are_refused(spark):
     other = [FOLDS[0], folds.Fold("x", FOLDS[0].validation_start, FOLDS[1].validation_start, FOLDS[1].validation_end)]
     with pytest.raises(ValueError, match="one training start"):
         regressions.fit_regressions(rows, other)
+
+
+def test_only_sums_and_narrow_rows_meet_the_zones_effects(spark):
+    """A certificate joins effects to sums per zone, not to training rows, and predictions carry no features into that join."""
+    rows = spark.range(4000).selectExpr("int(id % 8) AS zone_id", "timestamp_ntz'2026-01-01' + make_dt_interval(0, int(id DIV 8)) AS hour", "int(pmod(hash(id), 7)) AS demand", "double(pmod(hash(id, 1), 50)) AS a")
+    fold = folds.Fold("f", START, START + timedelta(hours=300), START + timedelta(hours=400))
+    made = regressions.fit_regressions(rows, [fold], [("m", ["a"], 0.0)])
+    split = folds.assign_folds(rows, [fold], 0)
+    proof, predicted = made.certificate(split), made.predictions(split.where("role = 'validation'")).select("fold", "zone_id", "hour", "demand", "m")
+    plans = [frame._jdf.queryExecution().optimizedPlan().toString() for frame in (proof, predicted)]
+    # What stands below the outer join on its row side.
+    sides = [plan[plan.index("LeftOuter") :].split("\n")[1:3] for plan in plans]
+    assert any("Aggregate" in line for line in sides[0])
+    assert any(" AS m0_base" in line for line in sides[1])
+    told = proof.collect()[0]
+    assert told["train_rows"] == 2400 and told["breach"] < 1e-9
+    wrong = regressions.FoldRegressions(**(vars(made) | {"effects": made.effects.withColumn("m0_effect", F.col("m0_effect") + 1)}))
+    assert wrong.certificate(split).collect()[0]["breach"] > 0.01
+
+
+def test_rows_of_loglinear_steps_are_not_shuffled_to_their_effects(spark):
+    """Effects are a table of known size, so that a step broadcasts them as long as they are few."""
+    rows = spark.range(900).selectExpr("int(id % 9) AS zone_id", "timestamp_ntz'2026-01-01' + make_dt_interval(0, int(id DIV 9)) AS hour", "int(pmod(hash(id), 5)) AS demand", "double(pmod(hash(id, 1), 50)) AS a")
+    score = models.fit_loglinear(rows, ["a"])
+    plan = score(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert score(rows).where("prediction > 0").count() == 900
